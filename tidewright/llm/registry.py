@@ -6,6 +6,8 @@ from importlib import import_module
 
 #: module: query
 QUERIES = {
+    "toxicity": "op7_lexicon_toxicity",
+    "langid": "op8_hierarchical_langid",
     "packing": "op9_best_fit_packing",
 }
 
