@@ -6,6 +6,8 @@ from importlib import import_module
 
 #: module: query
 QUERIES = {
+    "sentencepieces": "op2_sentencepiece",
+    "media": "op3_png_media_columns",
     "toxicity": "op7_lexicon_toxicity",
     "langid": "op8_hierarchical_langid",
     "packing": "op9_best_fit_packing",
