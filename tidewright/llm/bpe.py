@@ -1,60 +1,52 @@
-"""Byte-level BPE ids through a cache of pre-tokens.
+"""Byte-level BPE ids: the tokenizer file defines them, its rank table gives them faster.
 
-A byte-level BPE never merges across its pre-tokens, so a text's ids are the ids of its pre-tokens in
-order. Each slice's pre-tokens that the cache lacks go through `tokenizers` as one batch. Texts with
-characters whose classes differ between Unicode versions are encoded whole instead.
+`tokenizers` is the reference. Where the same vocabulary is at hand as a rank table, tiktoken computes the
+same ids in a quarter of the time; each task first compares the two on its first texts and fails on any
+difference. Texts with characters whose classes differ between Unicode versions always go to `tokenizers`.
 """
 
 from __future__ import annotations
 
+import base64
 import re
 
 import numpy as np
 
-#: Letters, digits and spaces of the characters that UNSURE lets through.
-PRE_TOKEN = re.compile(
-    "'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\\t\\n\\r A-Za-z0-9À-ÖØ-öø-ɏ]+|[\\t\\n\\r ]+(?![^\\t\\n\\r ])|[\\t\\n\\r ]+"
-)
+#: Any character but those that every Unicode version classes alike.
 UNSURE = re.compile("[^\\t\\n\\r -~¡-©«-±´¶-¸»¿-ɏ]")
-#: Cached pre-tokens at most, and the longest that is cached.
-CACHED, CACHED_CHARS = 250_000, 48
+#: Texts, and characters of them in all, that each task compares.
+COMPARED, COMPARED_CHARS = 32, 200_000
 
 
 class BytePairEncoder:
-    """texts -> little-endian unsigned 32-bit ids, one bytes object a text."""
+    """texts -> little-endian unsigned 32-bit ids, one bytes object a text. Strings of special tokens are ordinary text."""
 
-    def __init__(self, path: str, specials_are_text: bool = True):
+    def __init__(self, path: str, ranks_path: str | None = None, pattern: str | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = specials_are_text
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if not specials_are_text else []
-        self.cache: dict[str, bytes] = {}
+        self.tokenizer.encode_special_tokens = True
+        self.fast, self.left, self.left_chars = None, COMPARED, COMPARED_CHARS
+        if ranks_path:
+            import tiktoken
 
-    def _batch(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            with open(ranks_path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
+            self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    def whole(self, text: str) -> bool:
-        return bool(UNSURE.search(text)) or any(s in text for s in self.special)
+    def _slow(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if self.whole(t)]
-        for i in whole:  # one by one: a batch would hold all their encodings at once
-            out[i] = self._batch([texts[i]])[0]
-        for i, t in enumerate(texts):
-            if out[i] is not None:
+        out = []
+        for t in texts:
+            if self.fast is None or UNSURE.search(t):
+                out.append(self._slow(t))
                 continue
-            words = PRE_TOKEN.findall(t)
-            new = set(words).difference(self.cache)
-            if not new:
-                out[i] = b"".join(map(self.cache.__getitem__, words))
-                continue
-            if len(self.cache) + len(new) > CACHED:
-                self.cache.clear()
-                new = set(words)
-            fresh = list(new)
-            got = dict(zip(fresh, self._batch(fresh), strict=True))
-            self.cache.update((w, b) for w, b in got.items() if len(w) <= CACHED_CHARS)
-            out[i] = b"".join([got[w] if w in got else self.cache[w] for w in words])
+            ids = self.fast.encode_to_numpy(t).astype("<u4").tobytes()
+            if self.left and len(t) <= self.left_chars:
+                self.left, self.left_chars = self.left - 1, self.left_chars - len(t)
+                if ids != self._slow(t):
+                    raise ValueError("the rank table and the tokenizer file give different ids")
+            out.append(ids)
         return out

@@ -22,18 +22,20 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 BUCKET_ROWS = 1000
 
 
-def tokenizer_path() -> str:
+def tokenizer_files() -> tuple[str, str, str]:
+    """Tokenizer file, the same vocabulary as ranks, and its pre-token pattern."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, files: tuple, capacity: int = 1024, end_id: int = 2, keep_ids: bool = False) -> DataFrame:
     """Token pieces of every document: doc_id, piece, start, length, ids_crc32 (and ids, little-endian uint32).
 
     A document is the ids of its whole text and then end_id. One of up to `capacity` tokens is one piece.
     A longer one is cut into full pieces behind a first piece that takes the remainder. A null or empty
-    text is the one id end_id. Null and repeated doc_ids are kept: every row is a document of its own.
+    text is the one id end_id. `files` are the arguments of BytePairEncoder: a tokenizer file and, where there
+    is one, its rank table and pattern. Null and repeated doc_ids are kept: every row is a document of its own.
     Columns other than doc_id and text are not read.
     """
     schema = PIECES + (", ids binary" if keep_ids else "")
@@ -42,7 +44,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, ke
     def start():
         from .bpe import BytePairEncoder
 
-        encoder = BytePairEncoder(path)
+        encoder = BytePairEncoder(*files)
 
         def cut(rows: dict) -> dict:
             out: dict[str, list] = {k.split()[0]: [] for k in schema.split(", ")}
@@ -153,4 +155,4 @@ def op9_best_fit_packing(spark, sf_dir: str) -> DataFrame:
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:
-    return pack(materialise(pieces(docs, tokenizer_path()), "pieces"))
+    return pack(materialise(pieces(docs, tokenizer_files()), "pieces"))
