@@ -79,8 +79,8 @@ def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 20.0, steps: int = 120)
     rate = 1.0 / (1.0 / cost + 4.0)
     for k in range(steps):
         margin = np.maximum(0, 1 - y * (x @ v + c))
-        g = -2 * weight * y * margin
-        w2, b2 = v - rate * (v / cost + (g @ x).astype(np.float32)), c - rate * g.sum()
+        g = (-2 * weight * y * margin).astype(np.float32)
+        w2, b2 = v - rate * (v / cost + g @ x), c - rate * float(g.sum())
         v, c = w2 + k / (k + 3) * (w2 - w), b2 + k / (k + 3) * (b2 - b)
         w, b = w2, b2
     return w, float(b)
@@ -171,7 +171,8 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
     x = np.zeros((len(sample), 1 << BITS), dtype=np.float32)
     for i, r in enumerate(sample):
         x[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<f4")
-    x = np.sqrt(x / x.sum(axis=1, keepdims=True))
+    x /= x.sum(axis=1, keepdims=True)
+    np.sqrt(x, out=x)
     return Model(x, [r["lang"] for r in sample])
 
 
