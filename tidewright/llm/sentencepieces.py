@@ -1,13 +1,12 @@
 """SentencePiece models on the `tokenizers` library.
 
 The model's protobuf is parsed here; normaliser, metaspace marker, scores (unigram) or merges (BPE) and byte
-fallback are rebuilt from it. Where no piece of a BPE model holds a marker behind another character, no merge
-crosses from one word into the next: words are then encoded once, in multithreaded batches, and kept.
+fallback are rebuilt from it. Whole texts are encoded in multithreaded batches, and each task compares its
+first texts with the sentencepiece library.
 """
 
 from __future__ import annotations
 
-import re
 import struct
 
 import numpy as np
@@ -21,8 +20,8 @@ MARK = "▁"
 #: Field numbers and enumerations of the model's protobuf.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Words kept at most, and the longest that is kept.
-CACHED, CACHED_CHARS = 250_000, 48
+#: Texts that each task compares with the sentencepiece library, and texts encoded at once.
+COMPARED, BATCH = 64, 32
 
 
 def _fields(data: bytes):
@@ -94,7 +93,6 @@ class SentencePieceModel:
             raise ValueError("only unigram and BPE models are supported")
         self.ids = {p: i for i, (p, _, _) in enumerate(self.pieces)}
         self.unknown = next((i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN), 0)
-        self.by_word = self.kind == BPE and self.escape and all(MARK not in p.lstrip(MARK) for p, _, k in self.pieces if k == NORMAL) and not any(k == USER_DEFINED for _, _, k in self.pieces)
 
     @classmethod
     def load(cls, path: str) -> SentencePieceModel:
@@ -140,7 +138,7 @@ class SentencePieceModel:
             if charsmap is not None:
                 text = charsmap.normalize_str(text)
             if self.trim:
-                text = re.sub(" +", " ", text.strip(" "))
+                text = " ".join(w for w in text.split(" ") if w)
             if not text:
                 return ""
             text = (" " if self.dummy_prefix else "") + text
@@ -150,49 +148,32 @@ class SentencePieceModel:
 
 
 class Encoder:
-    """texts -> little-endian unsigned 32-bit ids. With `check`, every word or text that is encoded anew is compared with the sentencepiece library."""
+    """texts -> little-endian unsigned 32-bit ids, in multithreaded batches.
 
-    WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+    The first `compare` texts (all, if None) are also encoded by the sentencepiece library; any difference is
+    a ValueError.
+    """
 
-    def __init__(self, path: str, check: bool = True):
+    def __init__(self, path: str, compare: int | None = COMPARED):
         self.model = SentencePieceModel.load(path)
         self.tokenizer, self.normalise = self.model.tokenizer(), self.model.normaliser()
-        self.cache: dict[str, bytes] = {}
-        self.other = None
-        if check:
+        self.left, self.other = compare, None
+        if compare != 0:
             import sentencepiece
 
             self.other = sentencepiece.SentencePieceProcessor(model_file=path)
 
-    def _batch(self, parts: list[str], originals: list[str]) -> list[bytes]:
-        out = [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-        if self.other is not None:
-            for part, ids, other in zip(parts, out, self.other.encode(originals, num_threads=1), strict=True):
-                if np.asarray(other, dtype="<u4").tobytes() != ids:
-                    raise ValueError(f"the two libraries differ on {part[:80]!r}")
-        return out
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        clean = [self.normalise(t) for t in texts]
-        if not (self.model.by_word and self.model.dummy_prefix and not self.model.trim and not self.model.charsmap):
-            return [self._batch([c], [t])[0] if c else b"" for c, t in zip(clean, texts, strict=True)]
-        words = [self.WORD.findall(c) for c in clean]
-        new = set().union(*words).difference(self.cache)
-        if len(self.cache) + len(new) > CACHED:
-            self.cache.clear()
-            new = set().union(*words)
-        fresh = sorted(new)
-        # a word's first marker is the prefix that the other library adds itself
-        got = dict(zip(fresh, self._batch(fresh, [w[1:].replace(MARK, " ") for w in fresh]), strict=True)) if fresh else {}
-        known = self.cache | got if len(got) > len(self.cache) else self.cache
-        if known is self.cache:
-            self.cache.update(got)
-        out = [b"".join(map(known.__getitem__, w)) for w in words]
-        if known is not self.cache:
-            self.cache = known
-        for w in got:
-            if len(w) > CACHED_CHARS:
-                del self.cache[w]
+        out = []
+        for at in range(0, len(texts), BATCH):
+            part = texts[at : at + BATCH]
+            got = self.tokenizer.encode_batch_fast([self.normalise(t) for t in part], add_special_tokens=False)
+            out += [np.array(e.ids, dtype="<u4").tobytes() for e in got]
+        for text, ids in zip(texts[: self.left], out, strict=False):
+            if np.asarray(self.other.encode(text), dtype="<u4").tobytes() != ids:
+                raise ValueError(f"the two libraries differ on {text[:80]!r}")
+        if self.left is not None:
+            self.left = max(0, self.left - len(texts))
         return out
 
 
@@ -217,7 +198,7 @@ class Decoder:
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", check: bool = True) -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", compare: int | None = COMPARED) -> DataFrame:
     """Adds the binary column `ids`: the ids of the whole text, little-endian uint32.
 
     A null text gives null, an empty one no ids. Other columns stay; one already named like `ids` is replaced.
@@ -226,7 +207,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", check
     schema = T.StructType([*keep, T.StructField(ids, T.BinaryType())])
 
     def start():
-        encoder = Encoder(path, check)
+        encoder = Encoder(path, compare)
 
         def f(rows: dict) -> dict:
             got = encoder.encode([t or "" for t in rows[text]])
@@ -254,14 +235,8 @@ def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    out = decode(encode(docs, path), path)
-    return out.select(
-        "doc_id",
-        (F.length("ids") / 4).cast("bigint").alias("n_tokens"),
-        F.crc32("ids").alias("ids_crc32"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-        (F.col("decoded") == F.col("text")).alias("same_text"),
-    )
-
-
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
+    out = decode(encode(docs, path).drop("text"), path)
+    sha = F.sha2(F.col("decoded").cast("binary"), 256)
+    return out.select("doc_id", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), sha.alias("decoded_sha256"), (sha == F.col("text_sha256")).alias("same_text"))
