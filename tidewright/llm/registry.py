@@ -8,6 +8,7 @@ from importlib import import_module
 QUERIES = {
     "sentencepieces": "op2_sentencepiece",
     "media": "op3_png_media_columns",
+    "nearest": "op6_projected_neighbours",
     "ngram_join": "op4_multi_order_jaccard",
     "toxicity": "op7_lexicon_toxicity",
     "langid": "op8_hierarchical_langid",
