@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: module: query
 QUERIES = {
+    "chat": "op1_prefix_tree_chat",
     "sentencepieces": "op2_sentencepiece",
     "media": "op3_png_media_columns",
     "nearest": "op6_projected_neighbours",
