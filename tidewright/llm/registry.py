@@ -10,6 +10,7 @@ QUERIES = {
     "sentencepieces": "op2_sentencepiece",
     "media": "op3_png_media_columns",
     "nearest": "op6_projected_neighbours",
+    "licenses": "op5_rare_word_licenses",
     "ngram_join": "op4_multi_order_jaccard",
     "toxicity": "op7_lexicon_toxicity",
     "langid": "op8_hierarchical_langid",
