@@ -14,6 +14,7 @@ QUERIES = {
     "ngram_join": "op4_multi_order_jaccard",
     "toxicity": "op7_lexicon_toxicity",
     "langid": "op8_hierarchical_langid",
+    "html_text": "op10_wrapper_text",
     "packing": "op9_best_fit_packing",
 }
 
