@@ -21,7 +21,7 @@ FAMILIES = {
 #: Hashed character n-grams: 2**BITS features of GRAMS letters each.
 BITS, GRAMS = 13, (1, 2, 3, 4)
 #: Labelled rows that the classifier is fitted on, about, over all languages.
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 2000
 UNDETERMINED = "und"
 _CHUNK = 500_000
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint32)
