@@ -16,7 +16,8 @@ LEAST_DENSITY, LEAST_WEEKLY, LEAST_OVERLAP = 0.7, 0.6, 0.6
 
 def safe_corr(x: Column, y: Column) -> Column:
     """Pearson's r; 0 where it isn't defined."""
-    r = F.corr(x.cast("double"), y.cast("double"))
+    x, y = F.when(y.isNotNull(), x.cast("double")), F.when(x.isNotNull(), y.cast("double"))
+    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))  # corr() itself raises on a constant
     return F.coalesce(F.nanvl(r, F.lit(0.0)), F.lit(0.0))
 
 

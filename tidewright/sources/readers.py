@@ -159,7 +159,7 @@ def read_parquet(spark: SparkSession, d: Detection, options: dict) -> DataFrame:
 
 def read_pg_dump(spark: SparkSession, d: Detection, options: dict) -> DataFrame:
     """The first COPY block of a dump: all columns text, \\N is null, rows of another width are left out."""
-    lines = spark.read.option("wholetext", "false").text(d.path)
+    lines = spark.read.text(d.path)
     start = lines.where(F.col("value").rlike(r"(?i)^COPY .* FROM stdin;\s*$")).first()
     if not start:
         raise SourceError("the dump has no COPY block")
