@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -52,12 +53,25 @@ def stored_bytes(df: DataFrame) -> int:
     return total
 
 
+#: Rows and bytes of an Arrow batch between Spark and Python, at most; whole texts make Spark's own bounds too large.
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch bounds to BATCH_ROWS and BATCH_BYTES; lower ones stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(re.sub(r"\D", "", spark.conf.get(key) or "") or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def map_slices(df: DataFrame, start: Callable[[], Callable[[dict], dict]], schema: str | T.StructType, rows: int = 256) -> DataFrame:
     """Runs a function over slices of at most `rows` rows, so that what Python holds stays small.
 
     start() is called once a task and returns a function from {column: list} to {column: list}; the
     lists that it returns may be shorter or longer than those it got.
     """
+    bound_batches(df.sparkSession)
     out = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     # ints of fixed width, strings and binaries only: what Arrow needs is fixed here once
     from pyspark.sql.pandas.types import to_arrow_schema
