@@ -241,3 +241,20 @@ def op1_prefix_tree_chat(spark, sf_dir: str) -> DataFrame:
     rows = rows.unionByName(spark.createDataFrame(PLANTED, "conv_id bigint, turn bigint, role string, text string"))
     nodes, members = prefix_trees(rows, tokenizer_files())
     return digests(read_back(materialise(nodes, "nodes"), members))
+
+#: The same digests straight from the table; lengths of escaped texts by counting what escaping lengthens by one.
+ORACLE_SQL = r"""
+WITH rows AS (
+    SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+    SELECT *, length(text) + len(regexp_extract_all(text, '\\|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>')) AS body,
+        CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 6
+            ELSE 16 + length(role) + len(regexp_extract_all(role, '\\|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|\n')) END AS marks
+    FROM rows)
+SELECT conv_id, COUNT(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    CAST(COALESCE(SUM(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(COALESCE(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    CAST(3 + SUM(body + marks) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""

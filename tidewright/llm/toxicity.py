@@ -35,7 +35,7 @@ TOXIC_ROWS, CLEAN_ROWS, LEARNED = 4000, 8000, 4000
 #: Log likelihood ratio that an entry needs: of a million terms that mean nothing, about six reach it.
 EVIDENCE = 12.0
 STEMS = (4, 5, 6)
-_LEET = re.compile(r"(?<=[^\W\d_])[0134578@$!|]+(?=[^\W\d_])|(?<![\w@$!|])[0134578@$|]+(?=[^\W\d_]{2})")
+_LEET = re.compile(r"(?<=[^\W\d_])[0134578@$!|]+(?=[^\W\d_])|(?<![\w@$!|])[0134578@$|]+(?=[^\W\d_])")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
