@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import tempfile
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -384,7 +385,8 @@ def append_window(spark, sf_dir):
 def stream_window_counts(spark, sf_dir):
     stream = windows.file_stream(spark, sf_dir, pattern="events.parquet")
     counts = windows.windowed_counts(stream, "ts", ["event_type"], "1 day")
-    return windows.drain(counts, tempfile.mkdtemp(prefix="stream-")).select("start", "event_type", "n")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")  # state must be where all executors reach it
+    return windows.drain(counts, f"{shared}/stream-{uuid.uuid4().hex}").select("start", "event_type", "n")
 
 
 # generation: rows only; tests hold the invariants
