@@ -29,6 +29,19 @@ def test_stages_like_brute_force(spark):
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in four) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in alone)
 
 
+def test_clashing_columns_and_empty_tables(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(40)
+    for name in ("score", "lang_pred", "count", "removed", "digest", "component_id", "toxic", "node", "piece"):
+        docs = docs.withColumn(name, F.lit(1))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialise(stage(spark, docs, DIR), "t")
+        assert "score" in docs.columns and docs.count() > 20
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), DIR).count() == 0
+
+
 def test_one_row_of_a_repeated_id_stays(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "en", "s", 1), (1, "a b c d e f", "en", "s", 1), (2, "A b c d e f", "en", "s", 1), (None, "a b c d e f", "en", "s", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     assert sorted(str(r.doc_id) for r in corpus_pipeline.near_duplicates(spark, docs, DIR).collect()) == ["1", "None"]

@@ -176,16 +176,19 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
     return Model(x, [r["lang"] for r in sample])
 
 
-def predict(docs: DataFrame, model: Model | None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, carry: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns `carry` of docs, lang_pred string and score double (0 to 1), a row for every row.
 
-    A null text, one without a letter, or any text where there is no model gets `und` and score 0. Carried
-    columns named lang_pred or score are not allowed; other columns of docs are not read.
+    A null text, one without a letter, or any text where there is no model gets `und` and score 0. `names` are
+    those of the two columns that are added; ValueError if a carried one has such a name. Other columns of docs
+    are not read.
     """
+    if set(names) & set(carry):
+        raise ValueError(f"carried columns must not be named {names}")
     carried = [f for c in carry for f in docs.schema.fields if f.name == c]
     from pyspark.sql import types as T
 
-    schema = T.StructType([*carried, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*carried, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     rest = [c for c in carry if c != "text"]
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # fixed: 2**BITS weights for each family and pair
 
@@ -199,7 +202,7 @@ def predict(docs: DataFrame, model: Model | None, carry: tuple[str, ...] = ("doc
             if known:
                 for i, lang, score in zip(known, *own.predict(features.rows([texts[i] for i in known])), strict=True):
                     langs[i], scores[i] = lang, float(score)
-            return {c: rows[c] for c in carry} | {"lang_pred": langs, "score": scores}
+            return {c: rows[c] for c in carry} | {names[0]: langs, names[1]: scores}
 
         return f
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import held_out, map_slices, table
+from ._common import held_out, map_slices, materialise, table
 
 #: Prior lexicon: insults and their weights before any label is seen.
 PRIOR = {
@@ -176,7 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from docs(doc_id, text) and labels(doc_id, toxic).
 
     At most TOXIC_ROWS and CLEAN_ROWS labelled rows, by the order of a hash of doc_id. Rows whose toxic
-    isn't 0 or 1 or whose doc_id is null teach nothing. With either class missing the prior alone is used.
+    isn't 0 or 1 or whose doc_id is null teach nothing; of documents that share a doc_id one does. With either class missing among the
+    documents the prior alone is used.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     picked = None
@@ -186,12 +187,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     ids = [(r["doc_id"], r["toxic"]) for r in picked.collect()]  # TOXIC_ROWS + CLEAN_ROWS at most
     spark = docs.sparkSession
     prior = {f"{k} ": v for k, v in PRIOR.items()}
-    n_toxic = sum(t for _, t in ids)
-    n_clean = len(ids) - n_toxic
-    if not n_toxic or not n_clean:
-        return Model(prior, np.array([-1.5, 0.0, 1.2, 0.6]))
+    alone = Model(prior, np.array([-1.5, 0.0, 1.2, 0.6]))
+    if len({t for _, t in ids}) < 2:
+        return alone
     chosen = spark.createDataFrame(ids, T.StructType([known.schema["doc_id"], T.StructField("toxic", T.IntegerType())]))
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    sample = materialise(sample, "labelled")  # read three times, and as bounded as the labels picked
+    found = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(found) < 2:
+        return alone
+    n_toxic, n_clean = found[1], found[0]
     entries = prior | {k: max(v, prior.get(k, 0.0)) for k, v in learn_lexicon(sample, n_toxic, n_clean).items()}
 
     def start():
@@ -209,19 +214,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(entries, fit_curve(x, np.array([r["y"] for r in got], dtype=float)))
 
 
-def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
     """The columns `carry` of docs and score double (0 to 1, higher: more likely toxic), a row for every row.
 
-    Null and empty texts are scored as texts without a match. A carried column named score isn't allowed.
+    Null and empty texts are scored as texts without a match. `name` is that of the column that is added;
+    ValueError if a carried one has it.
     """
-    schema = T.StructType([*[docs.schema[c] for c in carry], T.StructField("score", T.DoubleType())])
+    if name in carry:
+        raise ValueError(f"a carried column must not be named {name!r}")
+    schema = T.StructType([*[docs.schema[c] for c in carry], T.StructField(name, T.DoubleType())])
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # LEARNED entries and the prior at most
 
     def start():
         own = shipped.value.start()
 
         def f(rows: dict) -> dict:
-            return {c: rows[c] for c in carry} | {"score": own(rows["text"])}
+            return {c: rows[c] for c in carry} | {name: own(rows["text"])}
 
         return f
 
