@@ -19,16 +19,25 @@ TOXIC = 0.5
 ORACLE_SQL = None
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is told: the text has a letter and the score is not below chance."""
-    out = langid.predict(docs, langid.fit(docs), carry=tuple(docs.columns))
-    return out.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    lang, score = unused(docs, "lang_pred"), unused(docs, "score")
+    out = langid.predict(docs, langid.fit(docs), carry=tuple(docs.columns), names=(lang, score))
+    return out.where((F.col(lang) != langid.UNDETERMINED) & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def toxic_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that score below 0.5."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, carry=tuple(docs.columns)).where(F.col("score") < TOXIC).select(*docs.columns)
+    score = unused(docs, "score")
+    return toxicity.score(docs, model, carry=tuple(docs.columns), name=score).where(F.col(score) < TOXIC).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
