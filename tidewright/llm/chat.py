@@ -140,7 +140,8 @@ def prefix_trees(conversations: DataFrame, files: tuple | None = None, bucket_ro
         return rows.groupBy("leaf_id").agg(F.sort_array(F.collect_list(F.struct("depth", *rest))).alias("path"))
 
     # subtree sizes: each node's length is counted by its least path, for itself and all above it
-    owner = steps.groupBy("node_id").agg(F.min("leaf_id").alias("owner"))
+    # written first: a join of two plain tables is one whose hot keys Spark splits
+    owner = materialise(steps.groupBy("node_id").agg(F.min("leaf_id").alias("owner")), "owners")
     owned = steps.join(owner, "node_id").select("leaf_id", "depth", "node_id", F.when(F.col("owner") == F.col("leaf_id"), F.col("length")).otherwise(0).alias("own"))
 
     def sums(rows: dict) -> dict:
@@ -163,6 +164,7 @@ def prefix_trees(conversations: DataFrame, files: tuple | None = None, bucket_ro
     left = kin.groupBy("parent_id", "bucket").agg(F.sum("subtree").alias("s")).withColumn("base", F.coalesce(F.sum("s").over(before), F.lit(0))).drop("s")
     within = Window.partitionBy("parent_id", "bucket").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
     offsets = kin.withColumn("near", F.coalesce(F.sum("subtree").over(within), F.lit(0))).join(left, ["parent_id", "bucket"]).select("node_id", (F.col("near") + F.col("base")).alias("offset"))
+    offsets = materialise(offsets, "offsets")
     placed = steps.join(offsets, "node_id", "left").join(owner, "node_id").select("leaf_id", "depth", "node_id", "length", F.coalesce("offset", F.lit(0)).alias("offset"), (F.col("owner") == F.col("leaf_id")).alias("mine"))
 
     def places(rows: dict) -> dict:
