@@ -191,3 +191,15 @@ def test_types(spark):
     assert [normalize_dtype(x) for x in ("BIGINT", "decimal(3,1)", "timestamp_ntz", "date", "varchar(3)", "blob", "interval", "boolean")] == ["int", "float", "datetime", "date", "string", "other", "int", "bool"]
     a, b = spark.range(1).schema, spark.range(1).withColumn("x", F.lit(1)).schema
     assert fingerprint({"t": a}) == fingerprint({"t": a}) != fingerprint({"t": b})
+
+
+def test_keys_of_configurations():
+    from tidewright.types import normalize_keys
+
+    assert normalize_keys({"maxRows": 1, "a-b": [{"C d": 2}], "x_y": {"zZ": 3}}) == {"max_rows": 1, "a_b": [{"c_d": 2}], "x_y": {"z_z": 3}}
+
+
+def test_approximate_profile_is_near(spark):
+    df = spark.read.parquet(f"{DIR}/lineitem.parquet")
+    a, b = ({r["column"]: r for r in profile.column_stats(df, e).collect()} for e in (True, False))
+    assert all(abs(a[c]["distinct"] - b[c]["distinct"]) <= 0.1 * a[c]["distinct"] + 1 for c in a) and all(a[c]["count"] == b[c]["count"] for c in a)

@@ -64,6 +64,14 @@ def write(df: DataFrame, path: str, format: str = "parquet", table: str | None =
     return path
 
 
+def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", **options) -> None:
+    """Into a database through its driver, in parallel by partition; options are Spark's (driver, batchsize, numPartitions)."""
+    w = df.write.format("jdbc").mode(mode).option("url", url).option("dbtable", table)
+    for k, v in options.items():
+        w = w.option(k, v)
+    w.save()
+
+
 def write_duckdb(df: DataFrame, path: str, table: str, batch: int = 100_000) -> None:
     """One database file: partitions come to the driver one at a time, in batches."""
     import duckdb

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 from pyspark.sql import types as T
 
@@ -28,6 +29,18 @@ def kind_of(t: T.DataType) -> str:
     return normalize_dtype(t.simpleString()) if not isinstance(t, (T.StructType, T.ArrayType, T.MapType)) else "other"
 
 
+def snake_case(name: str) -> str:
+    """kebab-case, camelCase and words as snake_case."""
+    return re.sub(r"(?<=[a-z0-9])(?=[A-Z])|[-\s.]+", "_", name.strip()).lower()
+
+
+def normalize_keys(x):
+    """A nested configuration with all its keys in snake case."""
+    if isinstance(x, dict):
+        return {snake_case(str(k)): normalize_keys(v) for k, v in x.items()}
+    return [normalize_keys(v) for v in x] if isinstance(x, list) else x
+
+
 def fingerprint(tables: dict[str, T.StructType]) -> str:
     """SHA-256 over sorted tables and their name:type:nullable."""
     lines = [f"{t}|" + ",".join(f"{f.name}:{kind_of(f.dataType)}:{f.nullable}" for f in s.fields) for t, s in sorted(tables.items())]

@@ -19,6 +19,10 @@ from .sources.detect import detect, table_name
 from .types import fingerprint
 
 
+#: Tables of up to this many rows are profiled exactly.
+EXACT_ROWS = 5_000_000
+
+
 class Workspace:
     """Tables are lazy DataFrames; profiles, references, rules and descriptions are small and can be saved as JSON."""
 
@@ -50,7 +54,7 @@ class Workspace:
         name = name or table_name(path)
         df = self.add(name, readers.read(self.spark, path, format, **options))
         p = self.profile(name)
-        duplicates = profile.duplicate_rows(df).first()["duplicates"] if p["rows"] <= 5_000_000 and not any(t.startswith("map") for _, t in df.dtypes) else None
+        duplicates = profile.duplicate_rows(df).first()["duplicates"] if p["rows"] <= EXACT_ROWS and not any(t.startswith("map") for _, t in df.dtypes) else None
         sample = [r.asDict(recursive=True) for r in df.limit(100).collect()]
         return reports.ingestion_report(name, path, d.format, df.schema, p, quality.ingestion_warnings(p, duplicates), duplicates, sample)
 
@@ -66,7 +70,9 @@ class Workspace:
     # knowledge
 
     def profile(self, name: str, sample_rows: int | None = None) -> dict:
-        self.profiles[name] = profile.profile_table(self.table(name), name, sample_rows=sample_rows)
+        """Exact up to EXACT_ROWS rows; beyond, distinct counts and medians are approximate, still in one pass."""
+        exact = sample_rows is not None or self.explorer.row_count(self.dataset, name) <= EXACT_ROWS
+        self.profiles[name] = profile.profile_table(self.table(name), name, exact, sample_rows)
         return self.profiles[name]
 
     def keys(self) -> dict[str, str | None]:
