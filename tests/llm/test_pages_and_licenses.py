@@ -101,3 +101,13 @@ def test_long_and_odd_pages():
     assert html_text.main_text("<article><p>a<p>b</article", None) == "a\nb"
     assert html_text.main_text("a < b and <3", None) == "a < b and <3"
     assert html_text.main_text("<article><p title='a>b'>x</p>" + "<div>" * 300 + "deep", None) == "x\ndeep"
+
+
+def test_furniture_inside_and_around():
+    inside = (
+        "<header><h1>T</h1></header><header>site</header><p>one</p><div class=shareButtons>share</div><p class=notice>n</p><div class='commentList'><p>c</p></div><aside>a</aside><div hidden><p>h</p></div>"
+        "<div style='display: none'>x</div><section id=disqus_thread>d</section><div class='in-text addition'><p>two</p></div><table><tr><td>a</td><td>b</td></tr></table><ul><li>li</li></ul><footer>f</footer><noscript>ns</noscript>"
+    )
+    want = "T\none\ntwo\na b\nli"
+    assert html_text.main_text(f"<body><nav>n</nav><article class=post>{inside}</article><div id=sideBar><p>long long text</p></div></body>", None) == want
+    assert html_text.main_text(f"<body><div class=top-bar>n</div><div class=wrap><div class=content>{inside}</div><div class=sidebar><p>side text</p></div></div></body>", None) == want

@@ -35,10 +35,14 @@ ENDS = {t: ("p", "button table td th article section div") for t in BLOCK - {"ht
     "li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"),
 }
 FURNITURE = frozenset("nav footer aside form script style noscript template button iframe svg canvas object select textarea dialog menu head title".split())
+#: Names that furniture goes by; a name's parts are parted by -, _, spaces or capitals.
 FURNITURE_NAME = re.compile(
-    r"(?:^|[-_ ])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|widgets?|nav\w*|menu\w*|breadcrumbs?|footer|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|disqus|replies|respond|pagination|pager|search|toolbar|skip|masthead|complementary|navigation|contentinfo)(?:[-_ ]|$)",
+    r"(?:^|[-_ ])(?:ads?|advert\w*|adsense|ad-?(?:box|slot|unit)|banner|sponsor\w*|promo\w*|side|side-?bars?|widgets?|nav|nav-?bar|navigation|menus?|breadcrumbs?|footer|site-header|page-header|masthead|top-?bar|cookies?|consent|gdpr|notices?|alert|popup|modal"
+    r"|overlay|newsletter|subscri\w+|sign-?up|log-?in|share|sharing|social|related|recommend\w*|teasers?|comments?|comment-?(?:list|form|box|section|area|thread)|disqus|replies|respond|pagination|pager|search|toolbar|skip|hidden|complementary|contentinfo)(?:[-_ ]|$)",
     re.I,
 )
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+CAPITALS = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Blocks of running text: the article's element is never one of them.
 RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table tr td th blockquote pre figure a b i em strong span br hr img".split())
 #: Runs of this many siblings fold when they repeat.
@@ -77,10 +81,12 @@ def parse(page: str) -> list:
                 if stack[k][1] in walls.split():
                     break
         key = tag
-        if m[3] and "=" in m[3]:
-            names = " ".join(a[2] or a[3] or a[4] or "" for a in ATTRIBUTE.finditer(m[3]))
+        if m[3]:
+            names = " ".join(a[2] or a[3] or a[4] or "" for a in ATTRIBUTE.finditer(m[3])) if "=" in m[3] else ""
+            if HIDDEN.search(m[3]):
+                names += " hidden"
             if names:
-                key += "." + re.sub(r"\d+", "", names).strip()
+                key += "." + CAPITALS.sub("-", re.sub(r"\d+", "", names)).strip()
         node = [key, tag, []]
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -218,6 +224,10 @@ def region(wrapper: list) -> list[str]:
         item = best
 
 
+def has_heading(node: list) -> bool:
+    return any(not isinstance(c, str) and (c[1] in ("h1", "h2", "h3") or has_heading(c)) for c in node[2])
+
+
 def blocks(node: list, out: list[list[str]]) -> None:
     for child in node[2]:
         if isinstance(child, str):
@@ -225,7 +235,7 @@ def blocks(node: list, out: list[list[str]]) -> None:
         elif child[1] == "br" or child[1] in ("td", "th"):
             out[-1].append(" ")
             blocks(child, out)
-        elif is_furniture(child[0]) or child[1] in RAW:
+        elif is_furniture(child[0]) or child[1] in RAW or child[1] == "header" and not has_heading(child):
             continue
         elif child[1] in BLOCK:
             out.append([])
