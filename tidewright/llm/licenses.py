@@ -164,3 +164,34 @@ def _offset(notice: str, phrase: str) -> int:
 
 def op5_rare_word_licenses(spark, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).drop("found")
+
+
+def _oracle() -> str:
+    """The same scan as joins over all words."""
+    notices, keys = [], []
+    for t, (label, notice, phrases) in enumerate(TEMPLATES):
+        notices += [f"({t}, '{label}', {i}, '{w}')" for i, w in enumerate(notice.split())]
+        keys += [f"({t}, {_offset(notice, p) + i}, '{w}')" for p in phrases for i, w in enumerate(p.split())]
+    base = [f"SELECT a.rid, a.i, '{label}' AS label FROM tok a " + " ".join(f"JOIN tok x{k} ON x{k}.rid = a.rid AND x{k}.i = a.i + {k} AND x{k}.word = '{w}'" for k, w in enumerate(phrase.split()[1:], 1)) + f" WHERE a.word = '{phrase.split()[0]}'" for phrase, label in BASE]
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{PARTING}'), lambda x: x <> '') AS w FROM documents),
+tok AS (SELECT rid, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM docs),
+notice(t, label, place, word) AS (VALUES {", ".join(notices)}),
+phrase(t, place, word) AS (VALUES {", ".join(keys)}),
+df AS (SELECT n.word, COUNT(DISTINCT k.rid) AS df FROM (SELECT DISTINCT word FROM notice) n LEFT JOIN tok k ON k.word = n.word GROUP BY 1),
+rare AS (SELECT t, word FROM (SELECT t, word, row_number() OVER (PARTITION BY t ORDER BY df, -length(word), word) AS k FROM (SELECT DISTINCT t, word FROM notice) JOIN df USING (word)) WHERE k <= {PROBES}),
+least AS (SELECT t, least({AGREE}, COUNT(DISTINCT word)) AS need, COUNT(*) AS size, any_value(label) AS label FROM notice GROUP BY t),
+begun AS (SELECT k.rid, r.t, k.i - n.place AS b FROM tok k JOIN rare r ON r.word = k.word JOIN notice n ON n.t = r.t AND n.word = r.word GROUP BY 1, 2, 3 HAVING COUNT(DISTINCT k.word) >= (SELECT need FROM least l WHERE l.t = r.t)),
+good AS (SELECT b.rid, b.t, b.b FROM begun b JOIN phrase p ON p.t = b.t LEFT JOIN tok k ON k.rid = b.rid AND k.i = b.b + p.place AND k.word = p.word GROUP BY 1, 2, 3 HAVING COUNT(*) = COUNT(k.word)),
+share AS (SELECT g.rid, l.label, COUNT(k.word) * 1e0 / any_value(l.size) AS share FROM good g JOIN notice n ON n.t = g.t JOIN least l ON l.t = g.t LEFT JOIN tok k ON k.rid = g.rid AND k.i = g.b + n.place AND k.word = n.word GROUP BY g.rid, g.t, g.b, l.label),
+base AS ({" UNION ALL ".join(base)}),
+places AS (SELECT rid, COUNT(*) AS n, MIN(i) AS first_word, MAX(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY rid),
+labels AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM base UNION SELECT rid, label FROM share) GROUP BY rid),
+best AS (SELECT rid, MAX(share) AS share FROM share GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, COALESCE(n, 0) AS n_base, first_word, last_word, COALESCE(p.labels, '') AS base_labels, COALESCE(l.labels, '') AS labels,
+    greatest(COALESCE(share, 0e0), CASE WHEN n > 0 THEN 0.5e0 ELSE 0e0 END) AS score
+FROM docs LEFT JOIN places p USING (rid) LEFT JOIN labels l USING (rid) LEFT JOIN best USING (rid)
+"""
+
+
+ORACLE_SQL = _oracle()
