@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,6 +67,14 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Python workers find this package where the driver does, wherever they start."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join(p for p in (root, *paths) if p)
+
+
 def map_slices(df: DataFrame, start: Callable[[], Callable[[dict], dict]], schema: str | T.StructType, rows: int = 256) -> DataFrame:
     """Runs a function over slices of at most `rows` rows, so that what Python holds stays small.
 
@@ -72,6 +82,7 @@ def map_slices(df: DataFrame, start: Callable[[], Callable[[dict], dict]], schem
     lists that it returns may be shorter or longer than those it got.
     """
     bound_batches(df.sparkSession)
+    ship_package(df.sparkSession)
     out = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     # ints of fixed width, strings and binaries only: what Arrow needs is fixed here once
     from pyspark.sql.pandas.types import to_arrow_schema
