@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..types import kind_of
 
+# An id by its name.
 ID = re.compile(r"(?i)(^|_)(id|key|uuid|guid|code|no|number)$|key$|_id$")
 
 

@@ -27,7 +27,7 @@ from ..graph import topological
 from .spec import Column, Dataset, Reference
 
 SPARK_TYPES = {"int": "bigint", "float": "double", "string": "string", "bool": "boolean", "date": "date", "datetime": "timestamp_ntz", "uuid": "string"}
-#: What a name suggests, first match wins.
+# What a column's name suggests, first match wins.
 NAMES = (
     (r"e?[-_]?mail", "email"), (r"phone|mobile|cell", "phone"), (r"(^|_)((first|last|full|customer|patient|user|contact)_?)?name$", "full_name"),
     (r"address|street", "address"), (r"(^|_)city$", "city"), (r"(^|_)country$", "country"), (r"price|amount|total|cost|salary|revenue|balance|fee", "lognormal"),
