@@ -148,3 +148,23 @@ def test_holidays_and_fiscal_parts(spark):
     assert multipliers({"holidays": {"dates": ["2024-02-29"], "strength": 3, "window_days": 0}}, start, end) == [1.0, 3.0, 1.0]
     assert day_weights({"base": 0}, start, end) == [1 / 3] * 3
     assert multipliers({"monthly": {"shape": "month_end", "strength": 1.0}}, dt.date(2024, 1, 1), dt.date(2024, 1, 31))[-1] == 2.0
+
+
+def test_plan_has_no_shuffle_and_no_python(gen):
+    for t in gen.plan.tables:
+        plan = gen.frame(t.name)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Python" not in plan and "Join" not in plan
+
+
+def test_parent_with_sql_text_is_joined(spark):
+    spec = load_spec("""
+tables:
+  - name: p
+    rows: 50
+    columns: [{name: id, type: int, primary_key: true}, {name: a, type: int, min: 1, max: 9}, {name: twice, type: int, expr: a * 2}]
+  - name: c
+    rows: 400
+    columns: [{name: cid, type: int, primary_key: true}, {name: pid, type: int, references: p.id, inherit: twice as p_twice}]
+""")
+    g = Generator(spark, plan_dataset(spec))
+    assert g.frame("c").join(g.frame("p"), F.col("pid") == F.col("id")).where("p_twice = twice and twice = a * 2").count() == 400
