@@ -386,7 +386,7 @@ def stream_window_counts(spark, sf_dir):
     stream = windows.file_stream(spark, sf_dir, pattern="events.parquet")
     counts = windows.windowed_counts(stream, "ts", ["event_type"], "1 day")
     shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")  # state must be where all executors reach it
-    return windows.drain(counts, f"{shared}/stream-{uuid.uuid4().hex}").select("start", "event_type", "n")
+    return windows.drain(counts, f"{shared}/stream-{uuid.uuid4().hex}").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 # generation: rows only; tests hold the invariants
