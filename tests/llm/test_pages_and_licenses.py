@@ -48,6 +48,13 @@ def test_licenses_like_brute_force(spark):
             assert any(all(f" {k} " in f" {' '.join(w)} " for k in keys) for label, _, keys in licenses.TEMPLATES if label == f.label)
 
 
+def test_a_text_of_nothing_but_notices(spark):
+    n = 20000
+    df = spark.createDataFrame([(1, "released under the mit license. all rights reserved. " * n)], "doc_id bigint, text string")
+    r = licenses.scan(df).first()
+    assert (r.n_base, r.labels, r.score, len(r.found), r.n_words) == (n, "mit,reserved", 1.0, 2 * n, 8 * n)  # two of the templates hold the phrase
+
+
 def test_licenses_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert licenses.scan(df).count() == 0

@@ -36,7 +36,7 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
     ("public-domain", "dedicated to the public domain", ("public domain",)),
 )
-#: Rare words that a template is indexed under, and how many of them must agree on its beginning.
+#: Rare words that a template is indexed under, and how many of them must agree on its beginning: two, as agrees() has it.
 PROBES, AGREE = 3, 2
 PARTING = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -84,6 +84,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, carry: tuple[str, ...] = ("doc_id
     0 without any label; found: array of (label, word) of the verified templates. Null texts are empty.
     Repeated rows and null keys stay; other columns are not read.
     """
+    if any(len(set(n.split())) < AGREE for _, n, _ in templates):
+        raise ValueError(f"a template needs {AGREE} different words")
     frequencies, _ = document_frequencies(docs, templates)
     index = build_index(frequencies, templates)
     rows = docs.select(*carry, words(fold_case(F.col("text"))).alias("w"))
@@ -107,22 +109,20 @@ def scan(docs: DataFrame, templates=TEMPLATES, carry: tuple[str, ...] = ("doc_id
     postings = F.create_map(*[c for k in rare for c in (F.lit(k), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(i).alias("place")) for t, i in index[k]]))])
     hits = F.filter(F.transform(w, lambda x, i: F.when(F.array_contains(_strings(rare), x), F.struct(x.alias("word"), i.alias("at")))), lambda x: x.isNotNull())
     begin = F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(postings, h["word"]), lambda p: F.struct(p["t"].alias("t"), (h["at"] - p["place"]).alias("at"), h["word"].alias("word")))))
-    begin = F.when(F.arrays_overlap(w, _strings(rare)), F.array_sort(F.array_distinct(begin))).otherwise(F.array().cast("array<struct<t:int,at:int,word:string>>"))
+    begin = F.when(F.arrays_overlap(w, _strings(rare)), F.array_sort(begin)).otherwise(F.array().cast("array<struct<t:int,at:int,word:string>>"))
     rows = rows.select(*carry, "w", places.alias("places"), begin.alias("begin"))
 
-    # in order of (t, at): one entry for each beginning, with the rare words that agree on it
-    least = F.array(*[F.lit(min(AGREE, len(set(n.split())))) for _, n, _ in templates])
-    state = "struct<t:int,at:int,n:int,found:array<struct<t:int,at:int>>>"
+    # in order of (t, at, word): a beginning is kept where a second rare word follows on the first, and once
+    def agrees(x: Column, i: Column) -> Column:
+        last = _at(F.col("begin"), F.greatest(i - 1, F.lit(0)))
+        return (i > 0) & (last["t"] == x["t"]) & (last["at"] == x["at"]) & (last["word"] != x["word"])
 
-    def step(s: Column, x: Column) -> Column:
-        same = (s["t"] == x["t"]) & (s["at"] == x["at"])
-        n = F.when(same, s["n"] + 1).otherwise(1)
-        # reached just now: a beginning goes in once
-        found = F.when(n == _at(least, x["t"]), F.concat(s["found"], F.array(F.struct(x["t"].alias("t"), x["at"].alias("at"))))).otherwise(s["found"])
-        return F.struct(x["t"].alias("t"), x["at"].alias("at"), n.alias("n"), found.alias("found")).cast(state)
+    def first(x: Column, i: Column) -> Column:
+        last = _at(F.col("agreed"), F.greatest(i - 1, F.lit(0)))
+        return (i == 0) | (last["t"] != x["t"]) | (last["at"] != x["at"])
 
-    zero = F.struct(F.lit(-1).alias("t"), F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().cast("array<struct<t:int,at:int>>").alias("found")).cast(state)
-    begun = F.when(F.size("begin") > 0, F.aggregate("begin", zero, step, lambda s: s["found"])).otherwise(F.array().cast("array<struct<t:int,at:int>>"))
+    rows = rows.select(*carry, "w", "places", F.filter("begin", agrees).alias("agreed"))
+    begun = F.transform(F.filter("agreed", first), lambda x: F.struct(x["t"].alias("t"), x["at"].alias("at")))
     rows = rows.select(*carry, "w", "places", begun.alias("begun"))
 
     notices = F.array(*[_strings(n.split()) for _, n, _ in templates])
