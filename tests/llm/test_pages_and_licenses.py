@@ -108,6 +108,10 @@ def test_long_and_odd_pages():
     assert html_text.main_text("<article><p>a<p>b</article", None) == "a\nb"
     assert html_text.main_text("a < b and <3", None) == "a < b and <3"
     assert html_text.main_text("<article><p title='a>b'>x</p>" + "<div>" * 300 + "deep", None) == "x\ndeep"
+    deep = "<article><p>a</p>" + "<div><b>" * 5000 + "deep" + "</b></div>" * 5000 + "<p>z</p></article><p>out</p>"
+    assert html_text.main_text(deep, None) == "a\ndeep\nz"
+    e = html_text.expression(html_text.parse(deep))
+    assert html_text.merge(e, html_text.expression(html_text.parse(deep.replace("<b>", "<b><i>")))) and html_text.region(e) == ["article"]
 
 
 def test_furniture_inside_and_around():

@@ -45,6 +45,8 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*
 CAPITALS = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Blocks of running text: the article's element is never one of them.
 RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table tr td th blockquote pre figure a b i em strong span br hr img".split())
+#: Elements nest this deep in the tree; what a page nests deeper lies flat in the last of them.
+DEEPEST = 150
 #: Runs of this many siblings fold when they repeat.
 PERIODS = (1, 2, 3, 4)
 BROADCAST_BYTES = 16 << 20
@@ -54,6 +56,7 @@ def parse(page: str) -> list:
     """The page as nested elements [key, tag, children]; texts are strings, character references still in them."""
     root = ["", "", []]
     stack = [root]
+    flat: list[str] = []  # open tags beyond the deepest
     at, n = 0, len(page)
     while at < n:
         m = TOKEN.search(page, at)
@@ -67,12 +70,17 @@ def parse(page: str) -> list:
             continue
         tag = m[2].lower()
         if m[1]:
+            if tag in flat:
+                while flat.pop() != tag:
+                    pass
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][1] == tag:
                     del stack[k:]
+                    flat.clear()
                     break
             continue
-        if tag in ENDS:
+        if tag in ENDS and not flat:
             ended, walls = ENDS[tag]
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][1] in ended.split():
@@ -95,7 +103,10 @@ def parse(page: str) -> list:
         else:
             stack[-1][2].append(node)
             if tag not in VOID and not m[3].endswith("/"):
-                stack.append(node)
+                if len(stack) > DEEPEST:
+                    flat.append(tag)
+                else:
+                    stack.append(node)
     return root
 
 
