@@ -23,6 +23,19 @@ def test_sentencepiece_parity_and_round_trip():
         assert decoder.decode(ids) == other.decode(other.encode(t)) == t.replace("▁", " ")
 
 
+def test_long_texts_are_encoded_in_parts(monkeypatch):
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    other = sentencepiece.SentencePieceProcessor(model_file=path)
+    monkeypatch.setattr(sp, "PART", 7)
+    encoder = sp.Encoder(path, compare=0)
+    texts = [*TEXTS, "the quick  brown   fox " * 30, " a▁b ▁ c" * 20, "x" * 100 + " y" * 50]
+    assert encoder.model.by_word and len(encoder.parts(encoder.normalise(texts[-3]))) > 20
+    for t, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == other.encode(t)
+
+
 def _field(n, kind, data):
     out, key = b"", n << 3 | kind
     for v in (key, *((len(data),) if kind == 2 else ())):

@@ -7,6 +7,7 @@ first texts with the sentencepiece library.
 
 from __future__ import annotations
 
+import re
 import struct
 
 import numpy as np
@@ -17,11 +18,14 @@ from pyspark.sql import types as T
 from ._common import map_slices, table
 
 MARK = "▁"
+WORD_START = re.compile(f"(?<=[^{MARK}]){MARK}")
 #: Field numbers and enumerations of the model's protobuf.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Texts that each task compares with the sentencepiece library, and texts encoded at once.
-COMPARED, BATCH = 64, 32
+#: Texts that each task compares with the sentencepiece library.
+COMPARED = 64
+#: Parts encoded at once, and characters of a part, about.
+BATCH, PART = 32, 1 << 15
 
 
 def _fields(data: bytes):
@@ -92,6 +96,8 @@ class SentencePieceModel:
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError("only unigram and BPE models are supported")
         self.ids = {p: i for i, (p, _, _) in enumerate(self.pieces)}
+        # no piece holds a marker behind another character: then no merge crosses from one word into the next
+        self.by_word = self.kind == BPE and self.escape and all(MARK not in p.lstrip(MARK) for p, _, k in self.pieces if k in (NORMAL, USER_DEFINED))
         self.unknown = next((i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN), 0)
 
     @classmethod
@@ -163,12 +169,29 @@ class Encoder:
 
             self.other = sentencepiece.SentencePieceProcessor(model_file=path)
 
+    def parts(self, text: str) -> list[str]:
+        """A normalised text in parts that can be encoded apart; one part where the model doesn't allow more."""
+        out, at = [], 0
+        while self.model.by_word and len(text) - at > 2 * PART:
+            m = WORD_START.search(text, at + PART)
+            if not m:
+                break
+            out.append(text[at : m.start()])
+            at = m.start()
+        return [*out, text[at:]]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(texts), BATCH):
-            part = texts[at : at + BATCH]
-            got = self.tokenizer.encode_batch_fast([self.normalise(t) for t in part], add_special_tokens=False)
-            out += [np.array(e.ids, dtype="<u4").tobytes() for e in got]
+        owner, parts = [], []
+        for i, t in enumerate(texts):
+            own = self.parts(self.normalise(t))
+            owner += [i] * len(own)
+            parts += own
+        found: list[list[bytes]] = [[] for _ in texts]
+        for at in range(0, len(parts), BATCH):
+            got = self.tokenizer.encode_batch_fast(parts[at : at + BATCH], add_special_tokens=False)
+            for i, e in zip(owner[at : at + BATCH], got, strict=True):
+                found[i].append(np.array(e.ids, dtype="<u4").tobytes())
+        out = [b"".join(f) for f in found]
         for text, ids in zip(texts[: self.left], out, strict=False):
             if np.asarray(self.other.encode(text), dtype="<u4").tobytes() != ids:
                 raise ValueError(f"the two libraries differ on {text[:80]!r}")
