@@ -74,6 +74,16 @@ def test_bpe_parity():
     assert fast.encode(TEXTS) == slow.encode(TEXTS)
 
 
+def test_bpe_of_long_texts(monkeypatch):
+    from tidewright.llm import bpe
+
+    files = packing.tokenizer_files()
+    texts = [*TEXTS, "naïve 日本 it's a\nb  c \n d\t e 12 x " * 40, "日本 語\nの テ" * 30]
+    whole = BytePairEncoder(files[0]).encode(texts)
+    monkeypatch.setattr(bpe, "PART", 5)
+    assert BytePairEncoder(files[0]).encode(texts) == whole == BytePairEncoder(*files).encode(texts)
+
+
 @pytest.mark.parametrize("row_filter", list(media.FILTERS))
 def test_png_round_trip(row_filter):
     a = np.random.default_rng(3).integers(0, 256, (9, 64), dtype=np.uint8)

@@ -14,6 +14,9 @@ import numpy as np
 
 #: Any character but those that every Unicode version classes alike.
 UNSURE = re.compile("[^\\t\\n\\r -~¡-©«-±´¶-¸»¿-ɏ]")
+BETWEEN_WORDS = re.compile(r"(?<=[^\W\d_])[ \n](?=[^\W\d_])")
+#: Characters of a part of a long text, about.
+PART = 1 << 16
 #: Texts, and characters of them in all, that each task compares.
 COMPARED, COMPARED_CHARS = 32, 200_000
 
@@ -35,7 +38,14 @@ class BytePairEncoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def _slow(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        out, at = [], 0
+        while True:  # a long text in parts: a pre-token always ends before a space between letters
+            m = BETWEEN_WORDS.search(text, at + PART) if len(text) - at > 2 * PART else None
+            end = m.start() if m else len(text)
+            out.append(np.asarray(self.tokenizer.encode(text[at:end], add_special_tokens=False).ids, dtype="<u4").tobytes())
+            if not m:
+                return b"".join(out)
+            at = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
