@@ -49,6 +49,7 @@ def test_lexicon_exceptions_and_stems():
     lex = toxicity.Lexicon({"trash ": 2.0, "lowei": 3.0})
     f = toxicity.Folder()
     assert lex.features(f("a trash can"))[0] == 0 and lex.features(f("you trash"))[0] > 0
+    assert lex.features(f("a trash can or trash, trash bin"))[2] == 2.0 and lex.features(f("trash can " * 50000))[0] == 0
     assert lex.features(f("loweichen x"))[2] == 3.0 and lex.features(f("xlowei"))[0] == 0
     assert lex.features(f("trash " + "word " * 500))[1] < lex.features(f("trash word"))[1]
 

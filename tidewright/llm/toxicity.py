@@ -11,7 +11,9 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -88,7 +90,10 @@ class Lexicon:
             else:
                 found[at] = max(weight, found.get(at, 0.0))
         if excused:
-            found = {at: w for at, w in found.items() if not any(a <= at < b for a, b in excused)}
+            excused.sort()
+            starts = [a for a, _ in excused]
+            reach = list(accumulate((b for _, b in excused), max))
+            found = {at: w for at, w in found.items() if (k := bisect_right(starts, at)) == 0 or reach[k - 1] <= at}
         total = sum(found.values())
         words = folded.count(" ") - 1
         return float(np.log1p(total)), float(np.log1p(100 * total / max(words, 1))), max(found.values(), default=0.0)
