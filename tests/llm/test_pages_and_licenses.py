@@ -122,3 +122,16 @@ def test_furniture_inside_and_around():
     want = "T\none\ntwo\na b\nli"
     assert html_text.main_text(f"<body><nav>n</nav><article class=post>{inside}</article><div id=sideBar><p>long long text</p></div></body>", None) == want
     assert html_text.main_text(f"<body><div class=top-bar>n</div><div class=wrap><div class=content>{inside}</div><div class=sidebar><p>side text</p></div></div></body>", None) == want
+
+
+def test_unmarked_article_in_several_siblings(spark):
+    def post(n, body, extra=""):
+        return f"<html><body><div class=brand>The Site</div><nav>n {n}</nav><div class=post><h1><a href=/{n}>Title {n}</a></h1><div class=intro>intro {n}</div>{extra}<div class=body>{body}</div></div><footer>f {n}</footer></body></html>"
+
+    rows = [(n, "http://a.example/", post(n, f"<p>body {n} " * 6)) for n in range(4)] + [(4, "http://a.example/", post(4, "body 4 " * 9, "<div class=update>an update</div>"))]
+    rows += [(5, "http://one.example/", post(5, "<p>first<p>second"))] + [(n, "http://copies.example/", post(6, "<p>first<p>second")) for n in (6, 7)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for n in range(4):
+        assert got[n] == "\n".join([f"Title {n}", f"intro {n}", *[f"body {n}"] * 6])
+    assert got[4] == "Title 4\nintro 4\nan update\n" + " ".join(["body 4"] * 9)
+    assert got[5] == "The Site\nTitle 5\nintro 5\nfirst\nsecond" and got[6] == got[7] == got[5].replace("5", "6")

@@ -3,9 +3,9 @@
 A page's tokens become a tree whose sequences are regular expressions without unions: an element, a text slot,
 a repeated group (adjacent siblings, or runs of siblings, of one kind fold into one) or an optional part. Two
 expressions align token by token: what both have is aligned further inside, what one has alone becomes
-optional, texts that differ make a slot variable. Every task aligns the pages that it reads, host by host; the
+optional, texts that pages differ in or lack make a slot variable. Every task aligns the pages that it reads, host by host; the
 hosts' partial wrappers are aligned in two more steps. The wrapper then says which of its elements holds the
-article: a marked one (article, main), else where the variable text outside of links and furniture lies.
+article: a marked one (article, main), else the deepest that holds all variable text outside of furniture.
 """
 
 from __future__ import annotations
@@ -116,19 +116,33 @@ def is_furniture(key: str) -> bool:
 
 
 # An expression's item: [key, optional, repeated, children]; of a text slot [#, optional, repeated, its text's
-# checksum or null where texts differ, characters]; of a group of siblings [(keys), optional, repeated, items].
+# checksum or null where pages differ, characters]; of a group of siblings [(keys), optional, repeated, items].
 
 
-def merge(a: list, b: list) -> list:
+def merge(a: list, b: list, pages: bool = True) -> list:
+    """One item for both: of two pages, or with pages=False of two places in one."""
     if a[0] == "#":
-        return ["#", a[1] or b[1], a[2] or b[2], a[3] if a[3] == b[3] else None, a[4] + b[4]]
-    return [a[0], a[1] or b[1], a[2] or b[2], align(a[3], b[3])]
+        if a[3] == b[3]:
+            text = a[3]
+        else:
+            text = None if pages or a[3] is None or b[3] is None else zlib.crc32(b"%d %d" % (a[3], b[3]))
+        return ["#", a[1] or b[1], a[2] or b[2], text, a[4] + b[4]]
+    return [a[0], a[1] or b[1], a[2] or b[2], align(a[3], b[3], pages)]
+
+
+def variable(item: list) -> list:
+    """The item with all its texts variable."""
+    return [*item[:3], None, item[4]] if item[0] == "#" else [*item[:3], [variable(x) for x in item[3]]]
 
 
-def align(a: list, b: list) -> list:
-    """One sequence for both: equal keys in order meet, the rest is optional."""
+def align(a: list, b: list, pages: bool = True) -> list:
+    """One sequence for both: equal keys in order meet, the rest is optional; what one page has alone is variable."""
     if len(a) == len(b) and all(x[0] == y[0] for x, y in zip(a, b, strict=True)):
-        return [merge(x, y) for x, y in zip(a, b, strict=True)]
+        return [merge(x, y, pages) for x, y in zip(a, b, strict=True)]
+
+    def lone(items: list) -> list:
+        return [[x[0], True, *x[2:]] for x in (map(variable, items) if pages else items)]
+
     places: tuple[dict, dict] = ({}, {})
     for side, items in zip(places, (a, b), strict=True):
         for i, x in enumerate(items):
@@ -142,20 +156,20 @@ def align(a: list, b: list) -> list:
     out, i, j = [], 0, 0
     while i < len(a) and j < len(b):
         if a[i][0] == b[j][0]:
-            out.append(merge(a[i], b[j]))
+            out.append(merge(a[i], b[j], pages))
             i, j = i + 1, j + 1
             continue
         ahead_a, ahead_b = following(0, b[j][0], i), following(1, a[i][0], j)
         if ahead_a is not None and (ahead_b is None or ahead_a - i <= ahead_b - j):
-            out += [[x[0], True, *x[2:]] for x in a[i:ahead_a]]
+            out += lone(a[i:ahead_a])
             i = ahead_a
         elif ahead_b is not None:
-            out += [[x[0], True, *x[2:]] for x in b[j:ahead_b]]
+            out += lone(b[j:ahead_b])
             j = ahead_b
         else:
-            out += [[x[0], True, *x[2:]] for x in (a[i], b[j])]
+            out += lone([a[i], b[j]])
             i, j = i + 1, j + 1
-    out += [[x[0], True, *x[2:]] for x in a[i:] + b[j:]]
+    out += lone(a[i:] + b[j:])
     return fold(out)
 
 
@@ -170,7 +184,7 @@ def fold(items: list) -> list:
             if i + 2 * period <= len(items) and keys[i : i + period] == keys[i + period : i + 2 * period] and (period == 1 or len(set(keys[i : i + period])) > 1):
                 own, k = items[i : i + period], i + period
                 while keys[k : k + period] == keys[i : i + period]:
-                    own = [merge(x, y) for x, y in zip(own, items[k : k + period], strict=True)]
+                    own = [merge(x, y, False) for x, y in zip(own, items[k : k + period], strict=True)]
                     k += period
                 if period == 1:
                     out.append([own[0][0], own[0][1], True, *own[0][3:]])
@@ -206,6 +220,19 @@ def mass(item: list) -> float:
     return sum(map(mass, item[3]))
 
 
+def heads(item: list) -> bool:
+    return any(x[0] != "#" and (x[0].partition(".")[0] in ("h1", "h2", "h3") or heads(x)) for x in item[3])
+
+
+def held(item: list, every: bool) -> int:
+    """Characters of text outside of furniture, links included, that isn't the same on all pages; with `every` of any text."""
+    if item[0] == "#":
+        return item[4] if every or item[3] is None else 0
+    if is_furniture(item[0]) or item[0].partition(".")[0] == "header" and not heads(item):
+        return 0
+    return sum(held(x, every) for x in item[3])
+
+
 def region(wrapper: list) -> list[str]:
     """The keys from the root to the element that holds the article."""
     marked: list[tuple[float, int, list[str]]] = []
@@ -225,11 +252,13 @@ def region(wrapper: list) -> list[str]:
     if articles:
         return max(articles)[2]
     path: list[str] = []
-    item = wrapper
+    item, every = wrapper, not held(wrapper, False)  # nothing varies on one page, or on copies of one
     while True:
-        inside = [y for x in item[3] for y in (x[3] if x[0][0] == "(" else [x]) if y[0] != "#"]
-        best = max(inside, key=mass, default=None)
-        if best is None or best[2] or best[0].partition(".")[0] in RUNNING or mass(best) < 0.5 * mass(item) or not mass(best):
+        inside = [x for x in item[3] if held(x, every)]
+        if len(inside) != 1:
+            return path
+        best = inside[0]
+        if best[2] or best[0][0] in "#(" or best[0].partition(".")[0] in RUNNING or mass(best) < 0.5 * mass(item):
             return path
         path.append(best[0])
         item = best
