@@ -51,3 +51,16 @@ def test_spec_generate_load_and_reports(spark, tmp_path):
     assert w.confidence["fact_orders", "order_id"] == 1.0
     with pytest.raises(LoadError):
         w.generate_and_load(plan, str(tmp_path / "base2"), 100.5)
+
+
+def test_keys_of_large_tables_are_exact(spark, tmp_path):
+    n = 20_000
+    wide = spark.range(n).selectExpr(*[f"id * {2 * k + 3} + {k} as true_{k}" for k in range(8)], *[f"greatest(id, 60) * {2 * k + 3} as near_{k}" for k in range(8)], "id % 7 as few", "if(id % 3 = 0, null, id) as some")
+    w = Workspace(spark)
+    w.add("wide", wide, rows=6_000_000)
+    for p in (w.profile("wide"), w.profile("wide", exact=False)):
+        got = {c["name"]: c for c in p["columns"]}
+        assert [c["name"] for c in p["columns"] if c["pk_candidate"]] == [f"true_{k}" for k in range(8)]
+        assert all(got[f"near_{k}"]["distinct"] == n - 60 for k in range(8)) and got["some"]["uniqueness"] == 1.0 and got["few"]["distinct"] == 7
+    spark.range(5_000_001).selectExpr("id div 2 as v").write.parquet(str(tmp_path / "twice"))
+    assert w.ingest(str(tmp_path / "twice"), exact=False)["duplicates"] == 2_500_000

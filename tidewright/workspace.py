@@ -19,10 +19,6 @@ from .sources.detect import detect, table_name
 from .types import fingerprint
 
 
-#: Tables of up to this many rows are profiled exactly.
-EXACT_ROWS = 5_000_000
-
-
 class Workspace:
     """Tables are lazy DataFrames; profiles, references, rules and descriptions are small and can be saved as JSON."""
 
@@ -48,13 +44,13 @@ class Workspace:
             raise TidewrightError(f"no table {name!r}")
         return self.frames[name]
 
-    def ingest(self, path: str, name: str | None = None, format: str | None = None, **options: Any) -> dict:
-        """Registers a source, profiles it and returns its report."""
+    def ingest(self, path: str, name: str | None = None, format: str | None = None, exact: bool = True, **options: Any) -> dict:
+        """Registers a source, profiles it and returns its report; duplicates are counted at every size."""
         d = detect(path, format)
         name = name or table_name(path)
         df = self.add(name, readers.read(self.spark, path, format, **options))
-        p = self.profile(name)
-        duplicates = profile.duplicate_rows(df).first()["duplicates"] if p["rows"] <= EXACT_ROWS and not any(t.startswith("map") for _, t in df.dtypes) else None
+        p = self.profile(name, exact=exact)
+        duplicates = profile.duplicate_rows(df).first()["duplicates"] if not any(t.startswith("map") for _, t in df.dtypes) else None
         sample = [r.asDict(recursive=True) for r in df.limit(100).collect()]
         return reports.ingestion_report(name, path, d.format, df.schema, p, quality.ingestion_warnings(p, duplicates), duplicates, sample)
 
@@ -69,9 +65,8 @@ class Workspace:
 
     # knowledge
 
-    def profile(self, name: str, sample_rows: int | None = None) -> dict:
-        """Exact up to EXACT_ROWS rows; beyond, distinct counts and medians are approximate, still in one pass."""
-        exact = sample_rows is not None or self.explorer.row_count(self.dataset, name) <= EXACT_ROWS
+    def profile(self, name: str, sample_rows: int | None = None, exact: bool = True) -> dict:
+        """Exact at every size, unless the caller says otherwise; keys and uniqueness near 1 are always exact, see profile_table."""
         self.profiles[name] = profile.profile_table(self.table(name), name, exact, sample_rows)
         return self.profiles[name]
 
