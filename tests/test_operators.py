@@ -203,3 +203,12 @@ def test_approximate_profile_is_near(spark):
     df = spark.read.parquet(f"{DIR}/lineitem.parquet")
     a, b = ({r["column"]: r for r in profile.column_stats(df, e).collect()} for e in (True, False))
     assert all(abs(a[c]["distinct"] - b[c]["distinct"]) <= 0.1 * a[c]["distinct"] + 1 for c in a) and all(a[c]["count"] == b[c]["count"] for c in a)
+
+
+def test_personal_data_is_judged_by_all_values(spark):
+    df = spark.range(0, 2000, 1, 3).selectExpr(
+        "id", "if(id < 1500, null, concat('u', id, '@example.org')) as contact", "if(id < 1500, null, '6304000000000000000') as ref", "if(id < 900, '', '10.0.0.1\n') as origin", "if(id < 300, '123-45-6789', 'free text') as remark", "if(id < 1500, null, '2024-01-02') as due"
+    )
+    got = {c["name"]: (c["pii"]["level"], c["pii"]["category"]) for c in profile.profile_table(df, "t")["columns"]}
+    assert got == {"id": ("none", None), "contact": ("likely", "email"), "ref": ("likely", "credit_card"), "origin": ("likely", "phone"), "remark": ("none", None), "due": ("none", None)}
+    assert {r.category: (r.hits, r["values"]) for r in profile.pii_shares(df, "contact").collect()}["email"] == (500, 500)
