@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewright.llm import langid, ngram_join, packing, toxicity
 from tidewright.llm._common import materialise, stored_bytes, table
@@ -41,17 +42,29 @@ def toxic_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the smallest doc_id of each group of similar documents; rows whose doc_id is null stay."""
+    """Keeps the row with the smallest doc_id of each group of similar rows, of equal doc_ids the one with the least
+    text digest; rows whose doc_id is null stay."""
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return near_duplicate_rows(docs)
     groups = materialise(ngram_join.similar_groups(docs), "groups")
     removed = materialise(groups.where("doc_id <> component_id").select("doc_id").distinct(), "removed")
     small = stored_bytes(removed) <= ngram_join.BROADCAST_BYTES
-    kept = docs.join(F.broadcast(removed) if small else removed, "doc_id", "left_anti").select(*docs.columns)
-    twice = materialise(groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
-    if twice.isEmpty():
-        return kept
-    # rows that share a kept doc_id are one group: the first of them stays
-    one = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
+    return docs.join(F.broadcast(removed) if small else removed, "doc_id", "left_anti").select(*docs.columns)
+
+
+def near_duplicate_rows(docs: DataFrame) -> DataFrame:
+    """near_duplicates where doc_ids repeat: every row is a node of its own; of equal rows any one stays."""
+    node = unused(docs, "node")
+    rows = materialise(docs.withColumn(node, F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "rows")
+    groups = ngram_join.similar_groups(rows.select(F.col(node).alias("doc_id"), "text"))
+    groups = groups.where("doc_id is not null").select(F.col("doc_id").alias(node), F.col("component_id").alias("group"))
+    rest = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name not in ("doc_id", "text") and not isinstance(f.dataType, T.MapType)]
+    order = F.struct("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.xxhash64(F.lit(0), *rest).alias("rest"), F.col(node).alias("node"))
+    groups = materialise(groups.join(rows.select(node, order.alias("order")), node), "groups")
+    least = groups.groupBy("group").agg(F.min("order").alias("least")).select(F.col("least.node").alias(node))
+    removed = materialise(groups.select(node).join(least, node, "left_anti"), "removed")
+    small = stored_bytes(removed) <= ngram_join.BROADCAST_BYTES
+    return rows.join(F.broadcast(removed) if small else removed, node, "left_anti").select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,3 +50,13 @@ def test_one_row_of_a_repeated_id_stays(spark):
 def test_run(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "toxicity", "ngram_jaccard_join", "best_fit_packing"]
     assert corpus_pipeline.run(spark, DIR).count() > 100
+
+
+def test_rows_that_share_an_id_are_judged_apart(spark):
+    a, b, c, d = ("a b c d e f g", "q r s t u v w", "h i j k l m n", "the last of all these texts here")
+    rows = [(0, a), (1, a), (1, b), (1, b), (3, c), (3, d), (4, None), (4, "."), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", n) for n, (i, t) in enumerate(rows)], "doc_id bigint, text string, lang string, source string, node bigint")
+    out = [corpus_pipeline.near_duplicates(spark, x, DIR).collect() for x in (docs, docs.repartition(7, "node"))]
+    key = lambda r: (str(r.doc_id), str(r.text), r.node)
+    assert sorted((str(r.doc_id), str(r.text)) for r in out[0]) == sorted((str(i), str(t)) for i, t in [(0, a), (1, b), (3, c), (3, d), (4, None), (4, "."), (None, a), (None, a)])
+    assert sorted(map(key, out[0])) == sorted(map(key, out[1]))
