@@ -124,3 +124,11 @@ def test_similar_images_have_near_hashes():
     b = np.clip(a.astype(int) + rng.integers(-2, 3, a.shape), 0, 255).astype(np.uint8)
     x, y = (int(media.cosine_hash(i), 16) for i in (a, b))
     assert (x ^ y).bit_count() <= 8
+
+
+def test_every_text_is_compared():
+    encoder = sp.Encoder(P.path("piece_bpe_32k.model"))
+    encoder.encode(["a word"] * 64)
+    encoder.normalise = lambda text: "other"
+    with pytest.raises(ValueError):
+        encoder.encode(["a word"])

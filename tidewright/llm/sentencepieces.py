@@ -1,8 +1,8 @@
 """SentencePiece models on the `tokenizers` library.
 
 The model's protobuf is parsed here; normaliser, metaspace marker, scores (unigram) or merges (BPE) and byte
-fallback are rebuilt from it. Whole texts are encoded in multithreaded batches, and each task compares its
-first texts with the sentencepiece library.
+fallback are rebuilt from it. Whole texts are encoded in multithreaded batches and compared with
+the sentencepiece library.
 """
 
 from __future__ import annotations
@@ -22,8 +22,6 @@ WORD_START = re.compile(f"(?<=[^{MARK}]){MARK}")
 #: Field numbers and enumerations of the model's protobuf.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Texts that each task compares with the sentencepiece library.
-COMPARED = 64
 #: Parts encoded at once, and characters of a part, about.
 BATCH, PART = 32, 1 << 15
 
@@ -160,7 +158,7 @@ class Encoder:
     a ValueError.
     """
 
-    def __init__(self, path: str, compare: int | None = COMPARED):
+    def __init__(self, path: str, compare: int | None = None):
         self.model = SentencePieceModel.load(path)
         self.tokenizer, self.normalise = self.model.tokenizer(), self.model.normaliser()
         self.left, self.other = compare, None
@@ -221,7 +219,7 @@ class Decoder:
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", compare: int | None = COMPARED) -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", compare: int | None = None) -> DataFrame:
     """Adds the binary column `ids`: the ids of the whole text, little-endian uint32.
 
     A null text gives null, an empty one no ids. Other columns stay; one already named like `ids` is replaced.
