@@ -68,3 +68,14 @@ def test_exact_multiples_and_empty(spark):
     assert [(r.piece, r.length) for r in out] == [(0, 1)]
     with pytest.raises(ValueError):
         packing.pack(spark.createDataFrame([(1, 2000)], "doc_id bigint, length bigint"))
+
+
+def test_strings_of_added_tokens(spark):
+    files = packing.tokenizer_files()
+    t = Tokenizer.from_file(files[0])
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|", "no token", "word <|endoftext|> " * 9000]
+    got = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), files, 1 << 20).collect()
+    for r in got:
+        ids = [*t.encode(texts[r.doc_id], add_special_tokens=False).ids, 2]
+        assert (r.length, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+    assert {r.doc_id: r.length for r in got}[0] == 5

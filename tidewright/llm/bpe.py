@@ -2,7 +2,8 @@
 
 `tokenizers` is the reference. Where the same vocabulary is at hand as a rank table, tiktoken computes the
 same ids in a quarter of the time; each task first compares the two on its first texts and fails on any
-difference. Texts with characters whose classes differ between Unicode versions always go to `tokenizers`.
+difference. Texts with characters whose classes differ between Unicode versions, and texts that hold the string
+of an added token, always go to `tokenizers`.
 """
 
 from __future__ import annotations
@@ -22,13 +23,18 @@ COMPARED, COMPARED_CHARS = 32, 200_000
 
 
 class BytePairEncoder:
-    """texts -> little-endian unsigned 32-bit ids, one bytes object a text. Strings of special tokens are ordinary text."""
+    """texts -> little-endian unsigned 32-bit ids, one bytes object a text.
 
-    def __init__(self, path: str, ranks_path: str | None = None, pattern: str | None = None):
+    Strings of special tokens give the tokens' ids, as the tokenizer file has it; with escape=True they are ordinary text.
+    """
+
+    def __init__(self, path: str, ranks_path: str | None = None, pattern: str | None = None, escape: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = escape
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (escape and t.special)]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.fast, self.left, self.left_chars = None, COMPARED, COMPARED_CHARS
         if ranks_path:
             import tiktoken
@@ -50,7 +56,7 @@ class BytePairEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for t in texts:
-            if self.fast is None or UNSURE.search(t):
+            if self.fast is None or UNSURE.search(t) or self.added and self.added.search(t):
                 out.append(self._slow(t))
                 continue
             ids = self.fast.encode_to_numpy(t).astype("<u4").tobytes()

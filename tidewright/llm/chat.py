@@ -78,7 +78,7 @@ def _paths(conversations: DataFrame, files: tuple | None) -> DataFrame:
         if files:
             from .bpe import BytePairEncoder
 
-            encode = BytePairEncoder(*files).encode
+            encode = BytePairEncoder(*files, escape=True).encode
 
         def f(batch: dict) -> dict:
             out = {"conv_id": batch["conv_id"], "n_turns": [], "leaf_id": [], "nodes": []}
