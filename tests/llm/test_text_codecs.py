@@ -132,3 +132,14 @@ def test_every_text_is_compared():
     encoder.normalise = lambda text: "other"
     with pytest.raises(ValueError):
         encoder.encode(["a word"])
+
+
+def test_stored_media_have_a_row_filter(spark, tmp_path):
+    import hashlib
+
+    text = "some text " * 100
+    spark.createDataFrame([(1, text)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    r = media.op3_png_media_columns(spark, str(tmp_path)).first()
+    samples = np.frombuffer(text.encode().ljust(1024, b"\0"), dtype=np.uint8).reshape(-1, 64)
+    assert r.media_sha256 == hashlib.sha256(media.png_encode(samples, "sub")).hexdigest()
+    assert r.payload_sha256 == hashlib.sha256(samples.tobytes()).hexdigest()
