@@ -1,3 +1,4 @@
+import faulthandler
 import os
 import sys
 from pathlib import Path
@@ -20,3 +21,14 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+#: Seconds that one test may take; a test that hangs ends the run with all threads' stacks.
+LIMIT_S = 900
+
+
+@pytest.fixture(autouse=True)
+def within_time():
+    faulthandler.dump_traceback_later(LIMIT_S, exit=True)
+    yield
+    faulthandler.cancel_dump_traceback_later()

@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +87,42 @@ def test_guard_accepts(sql):
     assert guard_select(sql)
 
 
+PAIRS = "SELECT sum(sqrt(a.id * b.id)) FROM range(3000000) a, range(300000) b"
+
+
+@pytest.mark.parametrize("limit", [0.0, 0.05, 2.0])
+def test_late_queries_end(spark, limit):
+    e = Explorer(spark, timeout_s=limit, scan_limit=10**18)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", "mine")
+    # the main job of the second statement starts after that of its broadcast
+    for sql in (PAIRS, "SELECT /*+ BROADCAST(b) */ sum(sqrt(a.id * b.k)) FROM range(3000000) a JOIN (SELECT id % 9 AS k, count(*) AS n FROM range(3000000) GROUP BY 1) b ON a.id > b.k CROSS JOIN range(200000)"):
+        began = time.time()
+        with pytest.raises(QueryTimeoutError):
+            e.execute("shop", sql)
+        assert time.time() - began < limit + 20
+    assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") == "mine"
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert e.log[-1]["status"] == "timeout" and spark.range(10).count() == 10
+    deadline = time.time() + 20
+    while spark.sparkContext.statusTracker().getActiveJobsIds() and time.time() < deadline:
+        time.sleep(0.1)
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds()
+
+
+def test_scan_guard_reads_the_plan(spark):
+    e = Explorer(spark, scan_limit=100_000)
+    e.register("shop", "orders", spark.read.parquet(f"{DIR}/orders.parquet"))
+    e.register("shop", "customer", spark.read.parquet(f"{DIR}/customer.parquet"))
+    assert e.execute("shop", "SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey").rows == [(1500,)]
+    for sql in ("SELECT count(*) FROM range(100001)", "SELECT count(*) FROM orders a, orders b", "SELECT count(*) FROM orders a JOIN orders b ON a.o_totalprice < b.o_totalprice"):
+        with pytest.raises(UnsafeSqlError):
+            e.execute("shop", sql)
+    assert e.scanned_rows("shop", e.frame("shop", "SELECT 1 FROM orders a JOIN orders b ON a.o_orderkey = b.o_orderkey")) == 1500
+    with pytest.raises(Exception, match="UNSUPPORTED_DATASOURCE_FOR_DIRECT_QUERY|TABLE_OR_VIEW_NOT_FOUND"):
+        e.execute("shop", "SELECT * FROM `org.apache.spark.sql.parquet`.`/root/testdata/sf0.001/orders.parquet`")
+    assert spark.conf.get("spark.sql.runSQLOnFiles") == "true"
+
+
 def test_explorer(spark, tmp_path):
     e = Explorer(spark, row_cap=10, export_dir=str(tmp_path))
     e.register("shop", "orders", spark.read.parquet(f"{DIR}/orders.parquet"))
@@ -98,11 +135,14 @@ def test_explorer(spark, tmp_path):
     e.scan_limit = 100
     with pytest.raises(UnsafeSqlError):
         e.execute("shop", "SELECT * FROM orders")
-    e.scan_limit, e.timeout_s = 10**9, 0.3
+    e.scan_limit = 10**9
+    with pytest.raises(UnsafeSqlError):
+        e.execute("shop", PAIRS)
+    e.scan_limit, e.timeout_s = 10**18, 0.3
     with pytest.raises(QueryTimeoutError):
-        e.execute("shop", "SELECT sum(sqrt(a.id * b.id)) FROM range(3000000) a, range(300000) b")
-    assert [x["status"] for x in e.log] == ["ok", "ok", "ok", "rejected", "rejected", "rejected", "timeout"] and e.audit_frame().count() == 7
-    e.timeout_s = 60
+        e.execute("shop", PAIRS)
+    assert [x["status"] for x in e.log] == ["ok", "ok", "ok", "rejected", "rejected", "rejected", "rejected", "timeout"] and e.audit_frame().count() == 8
+    e.timeout_s, e.scan_limit = 60, 10**9
     assert spark.read.parquet(e.export("shop", "SELECT * FROM orders", "out.parquet")).count() == 1500
     for name in ("../x", "a/b", ""):
         with pytest.raises(TidewrightError):

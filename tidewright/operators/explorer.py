@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,9 @@ FORBIDDEN_CALLS = (
 ).split()
 SAFE_NODES = re.compile(r"(?i)\b(?:parquet|csv|json|orc|text|avro|delta|binaryfile|jdbc)\s*\.\s*[`'\"]")
 ROW_CAP, SCAN_LIMIT, TIMEOUT_S = 10_000, 50_000_000, 30.0
+#: How often jobs of a late query are cancelled, 0.2 s apart, before its thread is left behind.
+LAST_TRIES = 50
+_analysis = threading.Lock()
 
 
 def bare(sql: str) -> str:
@@ -69,6 +73,38 @@ def capped(df: DataFrame, cap: int) -> DataFrame:
     return df.limit(cap + 1)
 
 
+def _each(seq):
+    return (seq.apply(i) for i in range(seq.size()))
+
+
+def _rows(leaf, known: dict) -> int:
+    """Rows of a plan's leaf: as counted where it belongs to a registered table, else by the plan's own statistics."""
+    own = leaf.canonicalized()
+    for other, rows in known.get(own.hashCode(), ()):
+        if own.equals(other):
+            return rows
+    stats = leaf.stats()
+    count = stats.rowCount()
+    if count.isDefined():
+        return int(str(count.get()))
+    width = max(1, sum(a.dataType().defaultSize() for a in _each(leaf.output())))
+    return int(str(stats.sizeInBytes())) // width
+
+
+def _paired(node, known: dict) -> list[int]:
+    """For every join of a physical plan that has no equal keys, the product of the most rows of either side."""
+    out = []
+    for child in _each(node.children()):
+        out += _paired(child, known)
+    if node.nodeName().startswith(("CartesianProduct", "BroadcastNestedLoopJoin")):
+        product = 1
+        for side in (node.left(), node.right()):
+            link = side.logicalLink()
+            product *= max([1, *(_rows(x, known) for x in _each(link.get().collectLeaves()))]) if link.isDefined() else 1
+        out.append(product)
+    return out
+
+
 @dataclass
 class Result:
     columns: list[str]
@@ -120,21 +156,36 @@ class Explorer:
         return [tuple(r) for r in self._table(dataset, name)["frame"].limit(min(max(n, 1), 200)).collect()]
 
     def frame(self, dataset: str, sql: str) -> DataFrame:
-        """The guarded query as a lazy DataFrame over the dataset's tables."""
+        """The guarded query as a lazy DataFrame over the dataset's tables; files can't be named in it."""
         text = guard_select(sql)
         parse_guard(self.spark, text)
         for name, t in self.tables.get(dataset, {}).items():
             t["frame"].createOrReplaceTempView(name)
-        return self.spark.sql(text)
-
-    def scanned_rows(self, dataset: str, sql: str) -> int:
-        """The rows of the largest registered table that a query names."""
-        plain = bare(sql).lower()
-        return max([0, *(t["rows"] for n, t in self.tables.get(dataset, {}).items() if re.search(rf"\b{re.escape(n.lower())}\b", plain))])
+        with _analysis:  # names are resolved here, so the setting matters no longer than this
+            before = self.spark.conf.get("spark.sql.runSQLOnFiles")
+            self.spark.conf.set("spark.sql.runSQLOnFiles", "false")
+            try:
+                return self.spark.sql(text)
+            finally:
+                self.spark.conf.set("spark.sql.runSQLOnFiles", before)
+
+    def scanned_rows(self, dataset: str, df: DataFrame) -> int:
+        """The most rows that a leaf of the query's optimised plan reads, or that a join without equal keys pairs."""
+        known = {}
+        for t in self.tables.get(dataset, {}).values():
+            for leaf in _each(t["frame"]._jdf.queryExecution().optimizedPlan().collectLeaves()):
+                known.setdefault(leaf.canonicalized().hashCode(), []).append((leaf.canonicalized(), t["rows"]))
+        execution = df._jdf.queryExecution()
+        return max([_rows(leaf, known) for leaf in _each(execution.optimizedPlan().collectLeaves())] + _paired(execution.sparkPlan(), known), default=0)
+
+    def _guard_scan(self, dataset: str, df: DataFrame) -> None:
+        rows = self.scanned_rows(dataset, df)
+        if rows > self.scan_limit:
+            raise UnsafeSqlError(f"The query would scan or pair {rows} rows, more than {self.scan_limit}.", "Filter or aggregate first.")
 
     def explain(self, dataset: str, sql: str) -> dict:
         df = self.frame(dataset, sql)
-        return {"plan": df._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")), "rows": self.scanned_rows(dataset, sql)}
+        return {"plan": df._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")), "rows": self.scanned_rows(dataset, df)}
 
     def _audit(self, dataset: str, sql: str, status: str, began: float, rows: int = 0, truncated: bool = False, error: str = "") -> None:
         self.log.append({"dataset": dataset, "sql": sql[:4000], "status": status, "rows": rows, "truncated": truncated, "elapsed_ms": 1000 * (time.time() - began), "error": error[:2000]})
@@ -146,9 +197,8 @@ class Explorer:
         """At most row_cap rows. With `sample`, a hash-ordered sample of a result that exceeds the cap, else its first rows."""
         began = time.time()
         try:
-            if self.scanned_rows(dataset, sql) > self.scan_limit:
-                raise UnsafeSqlError(f"The query would scan more than {self.scan_limit} rows.", "Filter or aggregate first.")
             df = self.frame(dataset, sql)
+            self._guard_scan(dataset, df)
         except UnsafeSqlError as e:
             self._audit(dataset, sql, "rejected", began, error=str(e))
             raise
@@ -172,24 +222,29 @@ class Explorer:
         return Result(df.columns, [tuple(r) for r in rows], truncated, 1000 * (time.time() - began))
 
     def _within_time(self, action):
-        sc, group, late = self.spark.sparkContext, f"explorer-{uuid.uuid4().hex}", threading.Event()
-        sc.setJobGroup(group, "explorer", interruptOnCancel=True)
-
-        def stop() -> None:
-            late.set()
-            sc.cancelJobGroup(group)
-
-        timer = threading.Timer(self.timeout_s, stop)
-        timer.start()
-        try:
-            return action()
-        except Exception as e:
-            if late.is_set():
-                raise QueryTimeoutError(f"The query took more than {self.timeout_s:g} s.") from e
-            raise
-        finally:
-            timer.cancel()
-            sc.setLocalProperty("spark.jobGroup.id", None)
+        """Runs an action in a thread and a job group of its own; behind the limit the group's jobs end, and those that it starts later."""
+        sc, group, got, failed = self.spark.sparkContext, f"explorer-{uuid.uuid4().hex}", [], []
+
+        def work() -> None:
+            try:
+                sc.setJobGroup(group, "explorer", interruptOnCancel=True)
+                got.append(action())
+            except BaseException as e:  # raised again below
+                failed.append(e)
+
+        thread = InheritableThread(target=work, daemon=True)
+        thread.start()
+        thread.join(self.timeout_s)
+        if not thread.is_alive():
+            if failed:
+                raise failed[0]
+            return got[0]
+        for _ in range(LAST_TRIES):  # planning itself can't be stopped: what it submits afterwards is
+            sc._jsc.sc().cancelJobGroupAndFutureJobs(group, "the query took too long")
+            thread.join(0.2)
+            if not thread.is_alive():
+                break
+        raise QueryTimeoutError(f"The query took more than {self.timeout_s:g} s.") from (failed[0] if failed else None)
 
     def export(self, dataset: str, sql: str, filename: str, fmt: str = "parquet") -> str:
         """Writes the whole result below export_dir; the name may not leave it."""
@@ -197,9 +252,9 @@ class Explorer:
             raise TidewrightError(f"unknown export format {fmt!r}")
         if not self.export_dir or Path(filename).name != filename or filename in ("", ".", ".."):
             raise TidewrightError("An export needs an export folder and a plain file name.")
-        if self.scanned_rows(dataset, sql) > self.scan_limit:
-            raise UnsafeSqlError(f"The query would scan more than {self.scan_limit} rows.")
+        df = self.frame(dataset, sql)
+        self._guard_scan(dataset, df)
         path = f"{self.export_dir}/{filename}"
-        w = self.frame(dataset, sql).write.mode("overwrite")
+        w = df.write.mode("overwrite")
         self._within_time(lambda: (w.option("header", True).csv if fmt == "csv" else w.parquet if fmt == "parquet" else w.json)(path))
         return path
