@@ -1,6 +1,9 @@
+import html
 import random
 import re
 
+import pytest
+
 from tidewright.llm import html_text, licenses
 
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -111,7 +114,88 @@ def test_long_and_odd_pages():
     deep = "<article><p>a</p>" + "<div><b>" * 5000 + "deep" + "</b></div>" * 5000 + "<p>z</p></article><p>out</p>"
     assert html_text.main_text(deep, None) == "a\ndeep\nz"
     e = html_text.expression(html_text.parse(deep))
-    assert html_text.merge(e, html_text.expression(html_text.parse(deep.replace("<b>", "<b><i>")))) and html_text.region(e) == ["article"]
+    assert html_text.merge(e, html_text.expression(html_text.parse(deep.replace("<b>", "<b><i>")))) and html_text.region(e)["path"] == ["article"]
+    assert html_text.load(html_text.dump(e))[3][0][0] == "article" and html_text.dump(html_text.load(html_text.dump(e))) == html_text.dump(e)
+
+
+@pytest.mark.parametrize("n", [1, 146, 147, 400, 5000, 60000])
+def test_no_depth_is_too_deep(n):
+    page = f"<body><article>{'<div>' * n}<p>keep one</p><nav>MENU</nav><p>keep two</p>{'</div>' * n}</article></body>"
+    assert html_text.main_text(page, None) == "keep one\nkeep two"
+    w = html_text.merge(html_text.expression(html_text.parse(page)), html_text.expression(html_text.parse(page.replace("two", "too"))))
+    assert html_text.main_text(page, html_text.region(html_text.load(html_text.dump(w)))) == "keep one\nkeep two"
+
+
+@pytest.mark.parametrize("name", ["share-price", "related-work", "alert", "side-effects", "comment-free", "social-science", "search-results", "notice-period", "menu-planning", "ad-hoc"])
+def test_names_that_only_resemble_furniture(name):
+    text = "<h1>T</h1><p>first</p>{}<p>last</p>"
+    for tag in ("p", "div", "section"):
+        part = f"<{tag} class='{name}'>own text</{tag}>"
+        assert html_text.main_text(f"<body><nav>n</nav><article>{text.format(part)}</article></body>", None) == "T\nfirst\nown text\nlast"
+    for outer in ("article", "main", "body"):
+        assert html_text.main_text(f"<{outer}><div class='{name}'>{text.format('')}</div></{outer}>", None) == "T\nfirst\nlast"
+        assert html_text.main_text(f"<{outer} class='{name}'>{text.format('')}</{outer}>", None) == "T\nfirst\nlast"
+
+
+@pytest.mark.parametrize("name", ["sidebar", "widget", "related", "banner", "menu"])
+def test_a_name_never_empties_a_page(name):
+    assert html_text.main_text(f"<body><div class={name}><h1>T</h1><p>all of it</p></div></body>", None) == "T\nall of it"
+    assert html_text.main_text(f"<main><p>x</p><div class={name}><h1>T</h1><p>nearly all of it</p></div></main>", None) == "x\nT\nnearly all of it"
+    assert html_text.main_text(f"<div class={name}><article><h1>T</h1><p>all of it</p></article></div>", None) == "T\nall of it"
+    assert html_text.main_text(f"<main><p>the text of the page</p><div class={name}>more</div><div class=comments><p>and what a reader has to say about it, at length</p></div></main>", None) == "the text of the page"
+
+
+def test_the_wrapper_decides_about_odd_names(spark):
+    def post(n):
+        return (
+            f"<body><article><h1>T {n}</h1><div class=alert>own alert {n}</div><p>text {n}</p><div class=toc><a href=/a>part {n}</a> <a href=/b>other {n}</a></div><div class=author-note>the same note everywhere</div>"
+            f"<div class=x>the same words everywhere</div></article></body>"
+        )
+
+    rows = [(n, "http://a.example/", post(n)) for n in range(5)] + [(9, "http://b.example", post(9))]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for n in range(5):
+        assert got[n] == f"T {n}\nown alert {n}\ntext {n}\nthe same words everywhere"
+    assert got[9] == "T 9\nown alert 9\ntext 9\nthe same note everywhere\nthe same words everywhere"
+
+
+def test_wrappers_stay_small_whatever_the_names():
+    w, sizes = None, {}
+    for n in range(1200):
+        name = "".join(chr(97 + n // 26**k % 26) for k in range(3))
+        e = html_text.expression(html_text.parse(f"<body><div class=p-{name}>x {n}</div><article class=a-{name}><h1>t {n}</h1><p>text {n}</p></article><footer>f</footer></body>"))
+        w = e if w is None else html_text.merge(w, e)
+        sizes[n] = len(html_text.dump(w))
+    assert sizes[1199] < 1.1 * sizes[200] and html_text.region(w)["path"][-1] == "article.~"
+    assert html_text.main_text("<body><div class=p-zz>x</div><article class=a-zzzz><h1>t</h1></article></body>", html_text.region(w)) == "t"
+
+
+def naive(page):
+    """The article by nested counting of tags, without wrappers: furniture is what the table's pages have of it."""
+    text = re.sub("(?is)<!--.*?-->|<(script|style|title|nav|footer)\\b.*?(</\\1\\s*>|$)", "", page or "")
+    text = re.sub(r"(?is)<div class=[\"']?ad\b.*?</div>", "", text)
+    found = re.findall(r"(?is)<article\b[^>]*>(.*?)(?:</article\s*>|$)", text)
+    lines = []
+    for part in found:
+        part = re.sub(r"(?i)<br\b[^>]*>", " ", part)
+        for block in re.split(r"(?i)</?(?:p|h[1-6]|div|ul|li|article)\b[^>]*>", part):
+            lines.append(" ".join(html.unescape(re.sub(r"</?[a-zA-Z][^>]*>", "", block)).split()))
+    return "\n".join(x for x in lines if x)
+
+
+def test_all_pages_like_a_naive_extractor(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r.page_id: naive(r.html) for r in pages.collect()}
+    got = html_text.extract(pages).collect()
+    assert len(got) == len(want) and sum(map(len, want.values())) > 100_000
+    for r in got:
+        assert r.text == want[r.page_id] and r.n_chars == len(r.text)
+
+
+def test_extract_refuses_its_own_names(spark):
+    df = spark.createDataFrame([(1, "u", "h", "t")], "page_id bigint, url string, html string, Text string")
+    with pytest.raises(ValueError):
+        html_text.extract(df, carry=("page_id", "Text"))
 
 
 def test_furniture_inside_and_around():

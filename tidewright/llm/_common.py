@@ -23,9 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir, or one set here where it is unset."""
+    """The folder that all executors share: the session's spark.checkpoint.dir. Where it is unset a local session gets a
+    temporary one; on a cluster, whose machines share no such folder, RuntimeError."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share.")
         d = tempfile.mkdtemp(prefix="tidewright-")
         spark.sparkContext.setCheckpointDir(d)
     return d
@@ -55,6 +58,34 @@ def stored_bytes(df: DataFrame) -> int:
     return total
 
 
+#: A table is broadcast up to this many bytes as rows in memory, and joined otherwise.
+BROADCAST_BYTES = 16 << 20
+
+
+def row_bytes(df: DataFrame) -> int:
+    """Bytes that the rows of a table take in a hash relation, about: what is stored may be compressed many times over."""
+    width = F.lit(24)
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            width += F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        elif isinstance(f.dataType, T.ArrayType):
+            width += 8 * F.greatest(F.size(c), F.lit(0)) + 24
+        else:
+            width += 8
+    return df.agg(F.coalesce(F.sum(width.cast("bigint")), F.lit(0))).first()[0]
+
+
+def is_small(written: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether a written table may be broadcast; its rows are only read where its files are small."""
+    return stored_bytes(written) <= most and row_bytes(written) <= most
+
+
+def broadcast_if_small(df: DataFrame, written: DataFrame | None = None) -> DataFrame:
+    """df for a join: broadcast if it, or the written table that it renames, is small."""
+    return F.broadcast(df) if is_small(df if written is None else written) else df
+
+
 #: Rows and bytes of an Arrow batch between Spark and Python, at most; whole texts make Spark's own bounds too large.
 BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 

@@ -3,9 +3,11 @@
 A page's tokens become a tree whose sequences are regular expressions without unions: an element, a text slot,
 a repeated group (adjacent siblings, or runs of siblings, of one kind fold into one) or an optional part. Two
 expressions align token by token: what both have is aligned further inside, what one has alone becomes
-optional, texts that pages differ in or lack make a slot variable. Every task aligns the pages that it reads, host by host; the
-hosts' partial wrappers are aligned in two more steps. The wrapper then says which of its elements holds the
-article: a marked one (article, main), else the deepest that holds all variable text outside of furniture.
+optional, texts that pages differ in or lack make a slot variable. Every task aligns the pages that it reads,
+host by host; the hosts' partial wrappers are aligned in two more steps. The wrapper then says which of its
+elements holds the article: a marked one (article, main), else the deepest that holds all variable text outside
+of furniture. Inside it, what goes is furniture by its tag or whole names; a name that only resembles furniture's
+needs the wrapper's evidence (the same on all pages, or links for the most part).
 """
 
 from __future__ import annotations
@@ -13,14 +15,19 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+import sys
 import zlib
 from bisect import bisect_left
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import map_slices, materialise, stored_bytes, table
+from ._common import broadcast_if_small, map_slices, materialise, table
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/a-zA-Z][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -34,30 +41,58 @@ BLOCK = frozenset(
 ENDS = {t: ("p", "button table td th article section div") for t in BLOCK - {"html", "head", "body"}} | {
     "li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"),
 }
+ENDS = {t: (frozenset(a.split()), frozenset(b.split())) for t, (a, b) in ENDS.items()}
 FURNITURE = frozenset("nav footer aside form script style noscript template button iframe svg canvas object select textarea dialog menu head title".split())
-#: Names that furniture goes by; a name's parts are parted by -, _, spaces or capitals.
-FURNITURE_NAME = re.compile(
-    r"(?:^|[-_ ])(?:ads?|advert\w*|adsense|ad-?(?:box|slot|unit)|banner|sponsor\w*|promo\w*|side|side-?bars?|widgets?|nav|nav-?bar|navigation|menus?|breadcrumbs?|footer|site-header|page-header|masthead|top-?bar|cookies?|consent|gdpr|notices?|alert|popup|modal"
-    r"|overlay|newsletter|subscri\w+|sign-?up|log-?in|share|sharing|social|related|recommend\w*|teasers?|comments?|comment-?(?:list|form|box|section|area|thread)|disqus|replies|respond|pagination|pager|search|toolbar|skip|hidden|complementary|contentinfo)(?:[-_ ]|$)",
+#: A name (class, id or role; its words are parted by -, _ and capitals) is furniture's if some word is one of FIRM
+#: or LIKELY and all the others say only where or how the part stands. FIRM: adverts, reader comments, hidden parts.
+FIRM = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense adsbygoogle adbox adslot adunit sponsor sponsors sponsored comment comments commentlist commentform disqus replies respond hidden".split()
+)
+LIKELY = frozenset(
+    "sidebar sidebars side nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead topbar toolbar cookie cookies consent gdpr notice notices banner popup modal overlay newsletter subscribe login signup promo promos"
+    " share sharing sharedaddy social related recommended recommendations widget widgets teaser teasers pagination pager search skip complementary contentinfo".split()
+)
+PLACE = frozenset(
+    "box list form section area thread bar slot unit wrapper wrap container inner outer block panel column col row group link links button buttons icon icons item items top bottom left right main site page global primary secondary post posts"
+    " article articles story stories entry blog content reader readers user users visitor visitors privacy policy header head up in the of and on to a by your our this text title widget area count".split()
+)
+#: Furniture by a whole name whose words only say where.
+PLACES = frozenset("site-header top-bar".split())
+#: Names that may be furniture's: they count where the wrapper has more evidence, or outside of the article.
+LOOSE = re.compile(
+    r"(?:^|[-_ ])(?:ads?|advert\w*|sponsor\w*|promo\w*|side\w*|widgets?|nav\w*|menus?|toc|breadcrumbs?|footer|masthead|cookies?|consent|notices?|alert\w*|disclaimer|banner|popup|modal|overlay|newsletter|subscri\w+|sign-?up|log-?in|share|sharing"
+    r"|social|related|recommend\w*|teasers?|comments?|repl\w+|discussion|feedback|tags?|meta|byline|author\w*|pagination|pager|search|toolbar|skip)(?:[-_ ]|$)",
     re.I,
 )
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 CAPITALS = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Blocks of running text: the article's element is never one of them.
 RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table tr td th blockquote pre figure a b i em strong span br hr img".split())
-#: Elements nest this deep in the tree; what a page nests deeper lies flat in the last of them.
-DEEPEST = 150
 #: Runs of this many siblings fold when they repeat.
 PERIODS = (1, 2, 3, 4)
-BROADCAST_BYTES = 16 << 20
+#: A sequence of a wrapper knows this many names of one tag; elements of rarer names are one item, <tag>.~ for all.
+KINDS = 24
+#: A part that is the same on this many pages is the host's, where its name is LOOSE.
+SAME_PAGES = 3
+
+
+def deep(levels: int) -> None:
+    """Lets merge, align and fold call each other this many levels down; such calls take no room on C's stack."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * levels + 1000))
 
 
 def parse(page: str) -> list:
     """The page as nested elements [key, tag, children]; texts are strings, character references still in them."""
     root = ["", "", []]
     stack = [root]
-    flat: list[str] = []  # open tags beyond the deepest
-    at, n = 0, len(page)
+    still: Counter[str] = Counter()  # open elements by tag
+    at, n, deepest = 0, len(page), 0
+
+    def close(k: int) -> None:
+        for x in stack[k:]:
+            still[x[1]] -= 1
+        del stack[k:]
+
     while at < n:
         m = TOKEN.search(page, at)
         text = page[at : m.start() if m else n]
@@ -70,24 +105,21 @@ def parse(page: str) -> list:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag in flat:
-                while flat.pop() != tag:
-                    pass
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][1] == tag:
-                    del stack[k:]
-                    flat.clear()
-                    break
+            if still[tag]:
+                k = len(stack) - 1
+                while stack[k][1] != tag:
+                    k -= 1
+                close(k)
             continue
-        if tag in ENDS and not flat:
+        if tag in ENDS:
             ended, walls = ENDS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][1] in ended.split():
-                    del stack[k:]
-                    break
-                if stack[k][1] in walls.split():
-                    break
+            if any(still[t] for t in ended):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][1] in ended:
+                        close(k)
+                        break
+                    if stack[k][1] in walls:
+                        break
         key = tag
         if m[3]:
             names = " ".join(a[2] or a[3] or a[4] or "" for a in ATTRIBUTE.finditer(m[3])) if "=" in m[3] else ""
@@ -96,27 +128,40 @@ def parse(page: str) -> list:
             if names:
                 key += "." + CAPITALS.sub("-", re.sub(r"\d+", "", names)).strip()
         node = [key, tag, []]
+        stack[-1][2].append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            stack[-1][2].append(node)
             at = end.end() if end else n
-        else:
-            stack[-1][2].append(node)
-            if tag not in VOID and not m[3].endswith("/"):
-                if len(stack) > DEEPEST:
-                    flat.append(tag)
-                else:
-                    stack.append(node)
+        elif tag not in VOID and not m[3].endswith("/"):
+            stack.append(node)
+            still[tag] += 1
+            deepest = max(deepest, len(stack))
+    deep(deepest)
     return root
 
 
-def is_furniture(key: str) -> bool:
-    tag, _, names = key.partition(".")
-    return tag in FURNITURE or bool(names and FURNITURE_NAME.search(names))
+@lru_cache(maxsize=65536)
+def named(key: str) -> str:
+    """Whose an element's names are: firm, likely, loose (see above) or nobody's ("")."""
+    names = key.partition(".")[2].lower()
+    found = ""
+    for name in names.split():
+        words = [w for w in re.split(r"[-_]+", name) if w]
+        if words and all(w in FIRM or w in LIKELY or w in PLACE for w in words):
+            if any(w in FIRM for w in words):
+                return "firm"
+            if any(w in LIKELY for w in words) or name in PLACES:
+                found = "likely"
+    return found or ("loose" if names and LOOSE.search(names) else "")
 
 
-# An expression's item: [key, optional, repeated, children]; of a text slot [#, optional, repeated, its text's
-# checksum or null where pages differ, characters]; of a group of siblings [(keys), optional, repeated, items].
+def is_furniture(key: str, names: bool = True) -> bool:
+    """By its tag, or by its names; with names=False only firm ones count."""
+    return key.partition(".")[0] in FURNITURE or named(key) in (("firm", "likely") if names else ("firm",))
+
+
+# An expression's item: [key, optional, repeated, children, pages]; of a text slot [#, optional, repeated, its text's
+# checksum or null where pages differ, characters]; of a group of siblings [(keys), optional, repeated, items, pages].
 
 
 def merge(a: list, b: list, pages: bool = True) -> list:
@@ -127,12 +172,12 @@ def merge(a: list, b: list, pages: bool = True) -> list:
         else:
             text = None if pages or a[3] is None or b[3] is None else zlib.crc32(b"%d %d" % (a[3], b[3]))
         return ["#", a[1] or b[1], a[2] or b[2], text, a[4] + b[4]]
-    return [a[0], a[1] or b[1], a[2] or b[2], align(a[3], b[3], pages)]
+    return [a[0], a[1] or b[1], a[2] or b[2], align(a[3], b[3], pages), a[4] + b[4] if pages else max(a[4], b[4])]
 
 
 def variable(item: list) -> list:
     """The item with all its texts variable."""
-    return [*item[:3], None, item[4]] if item[0] == "#" else [*item[:3], [variable(x) for x in item[3]]]
+    return [*item[:3], None, item[4]] if item[0] == "#" else [*item[:3], [variable(x) for x in item[3]], item[4]]
 
 
 def align(a: list, b: list, pages: bool = True) -> list:
@@ -141,7 +186,7 @@ def align(a: list, b: list, pages: bool = True) -> list:
         return [merge(x, y, pages) for x, y in zip(a, b, strict=True)]
 
     def lone(items: list) -> list:
-        return [[x[0], True, *x[2:]] for x in (map(variable, items) if pages else items)]
+        return [[x[0], True, *(variable(x) if pages else x)[2:]] for x in items]
 
     places: tuple[dict, dict] = ({}, {})
     for side, items in zip(places, (a, b), strict=True):
@@ -170,7 +215,37 @@ def align(a: list, b: list, pages: bool = True) -> list:
             out += lone([a[i], b[j]])
             i, j = i + 1, j + 1
     out += lone(a[i:] + b[j:])
-    return fold(out)
+    return general(fold(out))
+
+
+def general(items: list) -> list:
+    """Of a tag with more than KINDS names the rarer ones become one item."""
+    if len(items) <= KINDS:
+        return items
+    kinds: dict[str, Counter] = {}
+    for x in items:
+        if x[0][0] not in "#(":
+            kinds.setdefault(x[0].partition(".")[0], Counter())[x[0]] += x[4]
+    rare: set[str] = set()
+    for tag, found in kinds.items():
+        if len(found) > KINDS:
+            rare.update(sorted(found, key=lambda k: (k == f"{tag}.~", k != tag, -found[k], k))[KINDS - 1 :])
+    if not rare:
+        return items
+    out: list[list] = []
+    at: dict[str, int] = {}
+    for x in items:
+        if x[0] not in rare:
+            out.append(x)
+            continue
+        key = x[0].partition(".")[0] + ".~"
+        x = [key, True, True, variable(x)[3], x[4]]
+        if key in at:
+            out[at[key]] = merge(out[at[key]], x)
+        else:
+            at[key] = len(out)
+            out.append(x)
+    return out
 
 
 def fold(items: list) -> list:
@@ -189,7 +264,7 @@ def fold(items: list) -> list:
                 if period == 1:
                     out.append([own[0][0], own[0][1], True, *own[0][3:]])
                 else:
-                    out.append(["(" + "|".join(keys[i : i + period]) + ")", False, True, own])
+                    out.append(["(" + "|".join(keys[i : i + period]) + ")", False, True, own, max(x[4] for x in own)])
                 i = k
             else:
                 out.append(items[i])
@@ -198,113 +273,237 @@ def fold(items: list) -> list:
     return items
 
 
+def below(root: list, children: Callable[[list], Iterable[list]]) -> list[list]:
+    """The node and all under it, each before those under it."""
+    order = [root]
+    for x in order:
+        order.extend(children(x))
+    return order
+
+
+def elements(node: list) -> list[list]:
+    return [c for c in node[2] if not isinstance(c, str) and c[1] != "br"]
+
+
 def expression(node: list) -> list:
     """The expression of one parsed element and all below it."""
-    out = []
-    for child in node[2]:
-        if isinstance(child, str):
-            text = child.strip()
-            if text:
-                out.append(["#", False, False, zlib.crc32(text.encode("utf-8", "surrogatepass")), len(text)])
-        elif child[1] != "br":
-            out.append(expression(child))
-    return [node[0], False, False, fold(out)]
+    made: dict[int, list] = {}
+    for x in reversed(below(node, elements)):
+        out = []
+        for child in x[2]:
+            if isinstance(child, str):
+                text = child.strip()
+                if text:
+                    out.append(["#", False, False, zlib.crc32(text.encode("utf-8", "surrogatepass")), len(text)])
+            elif child[1] != "br":
+                out.append(made.pop(id(child)))
+        made[id(x)] = [x[0], False, False, fold(out), 1]
+    return made[id(node)]
+
+
+def dump(item: list) -> str:
+    """An expression as a flat list, each item before those under it: no depth is too deep for JSON."""
+    flat, todo = [], [item]
+    while todo:
+        x = todo.pop()
+        flat.append(x if x[0] == "#" else [*x[:3], len(x[3]), x[4]])
+        if x[0] != "#":
+            todo.extend(reversed(x[3]))
+    return json.dumps(flat, separators=(",", ":"))
+
+
+def load(text: str) -> list:
+    flat = json.loads(text)
+    stack: list[tuple[list, int]] = []  # open items and how many children they take
+    deepest = 0
+    for x in flat:
+        n = 0
+        if x[0] != "#":
+            n, x[3] = x[3], []
+        if stack:
+            stack[-1][0][3].append(x)
+        if n:
+            stack.append((x, n))
+            deepest = max(deepest, len(stack))
+        while stack and len(stack[-1][0][3]) == stack[-1][1]:
+            stack.pop()
+    deep(deepest)
+    return flat[0]
+
+
+class Measure(NamedTuple):
+    """Characters under an item, outside of furniture."""
+
+    mass: float = 0.0  # outside of links; a text that is the same on all pages counts little
+    varies: int = 0  # not the same on all pages
+    all: int = 0
+    links: int = 0
+    heads: bool = False  # holds a heading
+
+
+def measures(wrapper: list, names: bool) -> dict[int, Measure]:
+    out: dict[int, Measure] = {}
+    for x in reversed(below(wrapper, lambda x: () if x[0] == "#" else x[3])):
+        tag = x[0].partition(".")[0]
+        if tag == "#":
+            out[id(x)] = Measure(x[4] * (1.0 if x[3] is None else 0.01), x[4] if x[3] is None else 0, x[4])
+            continue
+        mass, varies, every, links, heads = 0.0, 0, 0, 0, tag in ("h1", "h2", "h3")
+        for c in x[3]:
+            m = out[id(c)]
+            mass, varies, every, links, heads = mass + m.mass, varies + m.varies, every + m.all, links + m.links, heads or m.heads
+        if is_furniture(x[0], names) or tag == "header" and not heads:
+            out[id(x)] = Measure(heads=heads)
+        elif tag == "a":
+            out[id(x)] = Measure(0.0, varies, every, every, heads)
+        else:
+            out[id(x)] = Measure(mass, varies, every, links, heads)
+    return out
 
 
-def mass(item: list) -> float:
-    """Characters of text outside of links and furniture; a text that is the same on all pages counts little."""
-    if item[0] == "#":
-        return item[4] * (1.0 if item[3] is None else 0.01)
-    if item[0] == "a" or item[0].startswith("a.") or is_furniture(item[0]):
-        return 0.0
-    return sum(map(mass, item[3]))
+def keys_of(place: tuple | None) -> list[str]:
+    """The keys from the root to a place (the place above, key); groups have none."""
+    out = []
+    while place:
+        place, key = place
+        if key[0] != "(":
+            out.append(key)
+    return out[::-1]
+
+
+def article(wrapper: list, names: bool) -> tuple[list, tuple | None]:
+    """The item that holds the article, and its place: a marked one, else the deepest that holds all text that varies
+    outside of furniture. Without text of that kind it is the whole page."""
+    found = measures(wrapper, names)
+    marked: list[tuple[float, int, list, tuple]] = []
+    todo: list[tuple[list, tuple | None]] = [(wrapper, None)]
+    while todo:
+        item, place = todo.pop()
+        if item is not wrapper:
+            if is_furniture(item[0], names):
+                continue
+            place = (place, item[0])
+            tag, _, own = item[0].partition(".")
+            if item[0][0] != "(" and (tag in ("article", "main") or re.search(r"\bmain\b|\barticle\b", own)) and found[id(item)].all:
+                marked.append((found[id(item)].mass * (1.0 if tag == "article" else 0.999), -len(marked), item, place))
+        todo.extend((x, place) for x in reversed(item[3]) if x[0] != "#")
+    if marked:
+        best = max(marked, key=lambda x: x[:2])
+        articles = [x for x in marked if x[2][0].partition(".")[0] == "article"]
+        if articles:
+            own = max(articles, key=lambda x: x[:2])
+            best = own if own[0] >= 0.5 * best[0] else best
+        return best[2], best[3]
+    item, place = wrapper, None
+    every = not found[id(wrapper)].varies  # nothing varies on one page, or on copies of one
+    while True:
+        inside = [(m.all if every else m.varies, x) for x in item[3] if (m := found[id(x)]).all and (every or m.varies)]
+        if len(inside) > 1:  # small parts with an odd name beside the rest
+            total = sum(n for n, _ in inside)
+            inside = [(n, x) for n, x in inside if x[0][0] in "#(" or 2 * n >= total or named(x[0]) != "loose" or x[0].partition(".")[0] in RUNNING]
+        if len(inside) != 1:
+            return item, place
+        best = inside[0][1]
+        if best[2] or best[0][0] in "#(" or best[0].partition(".")[0] in RUNNING or found[id(best)].mass < 0.5 * found[id(item)].mass:
+            return item, place
+        item, place = best, (place, best[0])
 
 
-def heads(item: list) -> bool:
-    return any(x[0] != "#" and (x[0].partition(".")[0] in ("h1", "h2", "h3") or heads(x)) for x in item[3])
+def region(wrapper: list) -> dict:
+    """Where the article is, and what the wrapper knows about names inside it.
 
+    path: the keys from the root to its element. drop: places in it whose name is LOOSE and that are the same on all
+    pages, or links for the most part. keep: places whose name is LIKELY but that hold most of the article. trust:
+    whether LIKELY names count; they don't where nothing would be left.
+    """
+    names = measures(wrapper, True)[id(wrapper)].all > 0
+    item, place = article(wrapper, names)
+    plain = measures(wrapper, False)
+    whole = plain[id(item)]
+    drop, keep = [], []
+    todo: list[tuple[list, tuple | None]] = [(x, None) for x in item[3]]
+    while todo:
+        x, at = todo.pop()
+        if x[0] == "#":
+            continue
+        at, m, kind = (at, x[0]), plain[id(x)], named(x[0])
+        if kind == "likely" and 2 * m.all > whole.all and 2 * m.links < m.all:
+            keep.append(keys_of(at))
+        elif kind == "loose" and m.all and x[0].partition(".")[0] not in RUNNING:
+            same = wrapper[4] >= SAME_PAGES and not m.varies and whole.varies
+            if same or m.links >= 0.7 * m.all:
+                drop.append(keys_of(at))
+                continue
+        todo.extend((c, at) for c in x[3])
+    return {"path": keys_of(place), "drop": sorted(drop), "keep": sorted(keep), "trust": names}
 
-def held(item: list, every: bool) -> int:
-    """Characters of text outside of furniture, links included, that isn't the same on all pages; with `every` of any text."""
-    if item[0] == "#":
-        return item[4] if every or item[3] is None else 0
-    if is_furniture(item[0]) or item[0].partition(".")[0] == "header" and not heads(item):
-        return 0
-    return sum(held(x, every) for x in item[3])
 
+def verdicts(known: dict) -> dict:
+    """The places of drop and keep as nested dicts by key; what is said of a place stands under ""."""
+    tree: dict = {}
+    for say in ("drop", "keep"):
+        for path in known[say]:
+            at = tree
+            for key in path:
+                at = at.setdefault(key, {})
+            at[""] = say
+    return tree
 
-def region(wrapper: list) -> list[str]:
-    """The keys from the root to the element that holds the article."""
-    marked: list[tuple[float, int, list[str]]] = []
 
-    def look(item: list, path: list[str]) -> None:
-        for x in item[3]:
-            if x[0] == "#" or is_furniture(x[0]):
+def blocks(node: list, marks: dict, trust: bool) -> list[str]:
+    """The texts of an article's blocks, in order."""
+    out: list[list[str]] = [[]]
+    open_: list[tuple[Iterator, dict, bool]] = [(iter(node[2]), marks, False)]
+    while open_:
+        rest, at, ends = open_[-1]
+        for child in rest:
+            if isinstance(child, str):
+                out[-1].append(child)
                 continue
-            here = path if x[0][0] == "(" else [*path, x[0]]
-            tag, _, names = x[0].partition(".")
-            if tag == "article" or tag == "main" or re.search(r"\bmain\b|\barticle\b", names):
-                marked.append((mass(x) * (1.0 if tag == "article" else 0.999), -len(marked), here))
-            look(x, here)
-
-    look(wrapper, [])
-    articles = [x for x in marked if x[2][-1].startswith("article")] or marked
-    if articles:
-        return max(articles)[2]
-    path: list[str] = []
-    item, every = wrapper, not held(wrapper, False)  # nothing varies on one page, or on copies of one
-    while True:
-        inside = [x for x in item[3] if held(x, every)]
-        if len(inside) != 1:
-            return path
-        best = inside[0]
-        if best[2] or best[0][0] in "#(" or best[0].partition(".")[0] in RUNNING or mass(best) < 0.5 * mass(item):
-            return path
-        path.append(best[0])
-        item = best
-
-
-def has_heading(node: list) -> bool:
-    return any(not isinstance(c, str) and (c[1] in ("h1", "h2", "h3") or has_heading(c)) for c in node[2])
-
-
-def blocks(node: list, out: list[list[str]]) -> None:
-    for child in node[2]:
-        if isinstance(child, str):
-            out[-1].append(child)
-        elif child[1] == "br" or child[1] in ("td", "th"):
-            out[-1].append(" ")
-            blocks(child, out)
-        elif is_furniture(child[0]) or child[1] in RAW or child[1] == "header" and not has_heading(child):
-            continue
-        elif child[1] in BLOCK:
-            out.append([])
-            blocks(child, out)
-            out.append([])
+            key, tag, _ = child
+            if tag == "br":
+                out[-1].append(" ")
+                continue
+            here = at.get(key, at.get(f"{tag}.~", NOWHERE)) if at else NOWHERE
+            said = here.get("")
+            if tag in FURNITURE or tag in RAW or said == "drop" or said != "keep" and is_furniture(key, trust):
+                continue
+            if tag == "header" and not any(x[1] in ("h1", "h2", "h3") for x in below(child, elements)):
+                continue
+            if tag in ("td", "th"):
+                out[-1].append(" ")
+            elif tag in BLOCK:
+                out.append([])
+            open_.append((iter(child[2]), here, tag in BLOCK and tag not in ("td", "th")))
+            break
         else:
-            blocks(child, out)
+            open_.pop()
+            if ends:
+                out.append([])
+    return [" ".join(entities.unescape("".join(b)).split()) for b in out]
+
+
+NOWHERE: dict = {}
 
 
 def under(node: list, path: list[str]) -> list[list]:
     """The outermost elements that the keys of path lead to."""
     level = [node]
     for key in path:
-        level = [c for x in level for c in x[2] if not isinstance(c, str) and c[0] == key]
+        tag = key[:-2] if key.endswith(".~") else None
+        level = [c for x in level for c in x[2] if not isinstance(c, str) and (c[0] == key or tag is not None and c[1] == tag and c[0] != tag)]
     return level
 
 
-def main_text(page: str, path: list[str] | None) -> str:
+def main_text(page: str, known: dict | None) -> str:
     """The blocks of the article, joined by line feeds. A page that its host's wrapper doesn't fit has one of its own."""
     root = parse(page)
-    found = under(root, path) if path is not None else []
+    found = under(root, known["path"]) if known is not None else []
     if not found:
-        found = under(root, region(expression(root)))
-    out: list[list[str]] = [[]]
-    for node in found:
-        out.append([])
-        blocks(node, out)
-    lines = (" ".join(entities.unescape("".join(b)).split()) for b in out)
-    return "\n".join(x for x in lines if x)
+        known = region(expression(root))
+        found = under(root, known["path"])
+    marks = verdicts(known)
+    return "\n".join(x for node in found for x in blocks(node, marks, known["trust"]) if x)
 
 
 def host(url) -> F.Column:
@@ -321,7 +520,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
             for h, page in zip(batch["host"], batch["html"], strict=True):
                 e = expression(parse(page))
                 own[h] = merge(own[h], e) if h in own else e
-            return {"host": list(own), "wrapper": [json.dumps(w, separators=(",", ":")) for w in own.values()]}
+            return {"host": list(own), "wrapper": [dump(w) for w in own.values()]}
 
         return f
 
@@ -330,15 +529,17 @@ def wrappers(pages: DataFrame) -> DataFrame:
     def together(pdf):
         w = None
         for x in sorted(pdf["wrapper"]):  # the result must not depend on the order of tasks
-            x = json.loads(x)
+            x = load(x)
             w = x if w is None else merge(w, x)
         out = pdf.head(1).copy()
-        out["wrapper"] = [json.dumps(w, separators=(",", ":"))]
+        out["wrapper"] = [dump(w)]
         return out
 
     part = part.withColumn("some", F.pmod(F.xxhash64("wrapper"), F.lit(256)).cast("int"))
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for keys in (["host", "some"], ["host"]):  # a host's parts come together few at a time
-        part = part.groupBy(*keys).applyInPandas(together, "host string, wrapper string, some int")
+        # few bytes and much work: with a stated number of partitions they aren't put together by their size
+        part = part.repartition(tasks, *keys).groupBy(*keys).applyInPandas(together, "host string, wrapper string, some int")
     return part.select("host", "wrapper")
 
 
@@ -346,35 +547,38 @@ def extract(pages: DataFrame, carry: tuple[str, ...] = ("page_id", "url")) -> Da
     """The columns `carry` of pages(url, html), text and n_chars (its code points): a row for every row.
 
     Null html gives an empty text. Pages with a null url, or one without a host, are a host of their own kind.
-    Repeated rows stay; carried columns named text or n_chars are not allowed; others are not read.
+    Repeated rows stay; ValueError if a carried column is named text or n_chars; other columns are not read. Elements
+    may nest at any depth.
     """
+    if {"text", "n_chars"} & {c.lower() for c in carry}:
+        raise ValueError("carried columns must not be named text or n_chars")
 
     def start():
-        return lambda rows: {"host": rows["host"], "path": [json.dumps(region(json.loads(w))) for w in rows["wrapper"]]}
+        return lambda rows: {"host": rows["host"], "known": [json.dumps(region(load(w))) for w in rows["wrapper"]]}
 
-    regions = materialise(map_slices(wrappers(pages), start, "host string, path string"), "regions")
+    regions = materialise(map_slices(wrappers(pages), start, "host string, known string"), "regions")
     cols = list(dict.fromkeys([*carry, "url", "html"]))
     rows = pages.select(*cols, host(F.col("url")).alias("__host"))
-    known = regions.withColumnsRenamed({"host": "__host", "path": "__path"})
-    rows = rows.join(F.broadcast(known) if stored_bytes(regions) <= BROADCAST_BYTES else known, "__host", "left")
+    known = regions.withColumnsRenamed({"host": "__host", "known": "__known"})
+    rows = rows.join(broadcast_if_small(known, regions), "__host", "left")
     schema = T.StructType([*[pages.schema[c] for c in carry], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def begin():
-        paths: dict[str, list[str]] = {}
+        read: dict[str, dict] = {}
 
         def f(batch: dict) -> dict:
             texts = []
-            for page, path in zip(batch["html"], batch["__path"], strict=True):
-                if path is not None and path not in paths:
-                    if len(paths) > 10_000:
-                        paths.clear()
-                    paths[path] = json.loads(path)
-                texts.append(main_text(page or "", paths.get(path)))
+            for page, known in zip(batch["html"], batch["__known"], strict=True):
+                if known is not None and known not in read:
+                    if len(read) > 10_000:
+                        read.clear()
+                    read[known] = json.loads(known)
+                texts.append(main_text(page or "", read.get(known)))
             return {c: batch[c] for c in carry} | {"text": texts, "n_chars": [len(t) for t in texts]}
 
         return f
 
-    return map_slices(rows.select(*cols, "__path"), begin, schema, rows=64)
+    return map_slices(rows.select(*cols, "__known"), begin, schema, rows=64)
 
 
 def op10_wrapper_text(spark, sf_dir: str) -> DataFrame:
