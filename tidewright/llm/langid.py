@@ -23,7 +23,8 @@ BITS, GRAMS = 13, (1, 2, 3, 4)
 #: Labelled rows that the classifier is fitted on, about, over all languages.
 TRAIN_ROWS = 2000
 UNDETERMINED = "und"
-_CHUNK = 500_000
+#: Characters of a text that are counted at once; what is counted doesn't depend on it.
+PART = 500_000
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint32)
 
 
@@ -34,32 +35,40 @@ def family_of(lang: str) -> str:
 class Features:
     """Whole text -> counts of hashed n-grams of letters; other characters part words."""
 
-    def __init__(self):
+    def __init__(self, part: int = PART):
+        self.part = part
         self.letter = np.fromiter((chr(i).isalpha() for i in range(0x10000)), dtype=bool, count=0x10000)
 
     def counts(self, text: str) -> np.ndarray:
-        """float64 of length 2**BITS; all zero for a text without letters."""
-        total = np.zeros(1 << BITS)
-        for at in range(0, len(text), _CHUNK):
-            codes = np.frombuffer(text[at : at + _CHUNK].lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        """float64 of length 2**BITS; all zero for a text without letters. Long texts go in parts, each with the last
+        letters of the one before it, so that the counts are those of the whole text."""
+        total, seen = np.zeros(1 << BITS), False
+        text = text.lower()
+        before = np.zeros(0, dtype=np.uint32)  # what the next part's n-grams may begin with
+        for at in range(0, max(1, len(text)), self.part):
+            codes = np.frombuffer(text[at : at + self.part].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
             is_letter = self.letter[np.minimum(codes, 0xFFFF)]
             high = codes > 0xFFFF
             if high.any():
                 is_letter[high] = [chr(c).isalpha() for c in codes[high]]
-            if not is_letter.any():
-                continue
-            codes = np.concatenate(([32], np.where(is_letter, codes, 32), [32])).astype(np.uint32)
+            seen = seen or bool(is_letter.any())
+            first, last = at == 0, at + self.part >= len(text)
+            codes = np.concatenate((before, [32] if first else [], np.where(is_letter, codes, 32), [32] if last else [])).astype(np.uint32)
             gap = codes == 32
-            codes = codes[np.concatenate(([True], ~(gap[1:] & gap[:-1])))]
+            keep = np.concatenate(([True], ~(gap[1:] & gap[:-1])))
+            keep[: len(before)] = True
+            codes, done = codes[keep], len(before)
             h = np.zeros(len(codes), dtype=np.uint32)
             for n in range(1, max(GRAMS) + 1):
                 if n > len(codes):
                     break
                 h = h[: len(codes) - n + 1] * np.uint32(0x01000193) ^ codes[n - 1 :] * _MULTIPLIERS[(n - 1) % 4]
                 if n in GRAMS:
-                    mixed = (h ^ h >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
+                    own = h[max(0, done - n + 1) :]  # those that end in this part
+                    mixed = (own ^ own >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
                     total += np.bincount(mixed >> np.uint32(32 - BITS), minlength=1 << BITS)
-        return total
+            before = codes[-(max(GRAMS) - 1) :]
+        return total if seen else np.zeros(1 << BITS)
 
     def rows(self, texts: list[str]) -> np.ndarray:
         """Unit rows: square roots of the counts' shares."""
