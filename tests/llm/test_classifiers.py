@@ -1,6 +1,10 @@
+import math
 import random
 import zlib
 
+import pytest
+from pyspark.sql import functions as F
+
 from tidewright.llm import langid, toxicity
 
 EN, DE = "the house and the garden with that tree ", "der hund und die katze mit dem schönen ball "
@@ -32,11 +36,40 @@ def test_language_without_rows(spark):
     assert {r.lang_pred for r in langid.predict(d.where("doc_id < 100"), one).collect()} == {"en"}
 
 
-def test_long_text_counts_like_its_parts(monkeypatch):
-    f = langid.Features()
-    whole = f.counts(EN * 50)
-    monkeypatch.setattr(langid, "_CHUNK", 97)
-    assert abs(f.counts(EN * 50).sum() / whole.sum() - 1) < 0.1
+def naive_counts(text):
+    """n-grams of the text's words, with a space where anything else stands, counted one by one."""
+    out = {}
+    letters = "".join(c if c.isalpha() else " " for c in text.lower())
+    letters = " " + " ".join(letters.split(" ")) + " "
+    while "  " in letters:
+        letters = letters.replace("  ", " ")
+    if not letters.strip():
+        return out
+    for n in langid.GRAMS:
+        for i in range(len(letters) - n + 1):
+            h = 0
+            for k, c in enumerate(letters[i : i + n]):
+                h = (h * 0x01000193 & 0xFFFFFFFF) ^ (ord(c) * int(langid._MULTIPLIERS[k % 4]) & 0xFFFFFFFF)
+            h = ((h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF) >> (32 - langid.BITS)
+            out[h] = out.get(h, 0) + 1
+    return out
+
+
+def test_counts_like_a_naive_counter():
+    rng = random.Random(8)
+    texts = ["", "a", " ", "ab", "1 2", "\U00010400x \U0001f600y", "Straße ΣΑΣ İstanbul", EN, DE, "x" * 700] + ["".join(rng.choices("abcé Σ1.\n日\U00010400", k=rng.randint(0, 300))) for _ in range(60)]
+    for text in texts:
+        want = naive_counts(text)
+        for part in (1, 2, 3, 7, 97, langid.PART):
+            got = langid.Features(part).counts(text)
+            assert {int(i): int(got[i]) for i in got.nonzero()[0]} == want, (text, part)
+
+
+def test_long_text_counts_like_the_whole():
+    rng = random.Random(9)
+    text = " ".join("".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) for _ in range(120_000))
+    assert len(text) > langid.PART
+    assert (langid.Features().counts(text) == langid.Features(10**9).counts(text)).all()
 
 
 def test_folding():
@@ -54,6 +87,61 @@ def test_lexicon_exceptions_and_stems():
     assert lex.features(f("trash " + "word " * 500))[1] < lex.features(f("trash word"))[1]
 
 
+def naive_features(entries, exceptions, folded):
+    """The same three numbers by looking for every entry at every place."""
+    found, excused = {}, []
+    for e in exceptions:
+        at = folded.find(f" {e} ")
+        while at >= 0:
+            excused.append((at, at + len(e) + 1))
+            at = folded.find(f" {e} ", at + 1)
+    for e, w in entries.items():
+        at = folded.find(f" {e}")
+        while at >= 0:
+            if not any(a <= at < b for a, b in excused):
+                found[at] = max(w, found.get(at, 0.0))
+            at = folded.find(f" {e}", at + 1)
+    total, words = sum(found[k] for k in sorted(found)), folded.count(" ") - 1
+    return math.log1p(total), math.log1p(100 * total / max(words, 1)), max(found.values(), default=0.0)
+
+
+def test_lexicon_like_brute_force():
+    rng = random.Random(5)
+    entries = {"ab ": 1.0, "abc": 2.5, "b ": 0.5, "ca": 3.0, "a " : 4.0, "caba ": 1.5, "w" * 40 + " ": 9.0, "of ": 0.25}
+    exceptions = ("ab ca", "b a b", "abc")
+    lexicon = toxicity.Lexicon(entries, exceptions)
+    for n in range(400):
+        folded = " " + " ".join("".join(rng.choices("abc", k=rng.randint(1, 4))) for _ in range(n % 40)) + " "
+        if n % 9 == 0:
+            folded += "w" * 40 + " "
+        assert lexicon.features(folded) == pytest.approx(naive_features(entries, exceptions, folded), abs=1e-12)
+
+
+def test_every_entry_with_the_evidence_is_learned(spark):
+    """Short and long words, and more entries than any table of them was once allowed."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(400):
+        words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(30)]
+        rows.append((" ".join([*words, "qx", "y" * 200]) if i % 4 == 0 else " ".join(words), int(i % 4 == 0)))
+    got = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert "qx " in got and "y" * 4 in got
+    words = [a + b + c for a in map(chr, range(97, 123)) for b in map(chr, range(97, 123)) for c in "abcdefg"]
+    rows = []
+    for i in range(80):
+        own = (words if i % 4 == 0 else []) + ["".join(rng.choices("ghijk", k=9)) for _ in range(2)]
+        rows.append((" ".join(rng.sample(own, len(own))), int(i % 4 == 0)))
+    got = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert all(f"{w} " in got for w in words) and len(words) > 4000
+
+
+def test_the_model_does_not_depend_on_partitions(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    twice = docs.unionByName(docs.where("doc_id % 3 = 0").withColumn("text", F.concat(F.lit("x "), "text")))
+    models = [toxicity.fit(twice.repartition(n), labels.repartition(n)) for n in (1, 17)]
+    assert models[0].entries == models[1].entries and (models[0].curve == models[1].curve).all()
+
+
 def test_toxicity_learns(spark):
     rng = random.Random(3)
     rows, labels = [], []
@@ -82,8 +170,6 @@ def test_toxicity_without_labels(spark):
 
 
 def test_held_out_rows(spark):
-    from pyspark.sql import functions as F
-
     from tidewright.llm._common import held_out
 
     got = {r.i: r.h for r in spark.range(50).select(F.col("id").alias("i"), held_out(F.col("id")).alias("h")).collect()}

@@ -32,8 +32,8 @@ EXCEPTIONS = ("trash can", "trash bin", "trash collection", "clown fish", "circu
 #: Letters that look alike, and digits and signs that stand for letters inside words.
 HOMOGLYPHS = dict(zip("аеорсухіјѕѵԁһӏкмтвнαονρτικυ", "aeopcyxijsvdhlkmtbhaovptiku", strict=True))
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l"}
-#: Labelled rows to learn from, at most, of either class; lexicon entries learned, at most.
-TOXIC_ROWS, CLEAN_ROWS, LEARNED = 4000, 8000, 4000
+#: Labelled rows to learn from, at most, of either class.
+TOXIC_ROWS, CLEAN_ROWS = 4000, 8000
 #: Log likelihood ratio that an entry needs: of a million terms that mean nothing, about six reach it.
 EVIDENCE = 12.0
 STEMS = (4, 5, 6)
@@ -116,17 +116,18 @@ class Model:
 def terms(folded: str) -> set[str]:
     """Whole words (with a trailing space) and stems of a folded text."""
     words = set(folded.split())
-    out = {f"{w} " for w in words if 2 < len(w) <= 24}
+    out = {f"{w} " for w in words}
     for n in STEMS:
         out.update(w[:n] for w in words if len(w) >= n)
     return out
 
 
-def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Weights by smoothed log odds of document frequencies in sample(text, toxic).
+def learn_lexicon(sample: DataFrame) -> dict[str, float]:
+    """Weights by smoothed log odds of document frequencies in sample(text, toxic): every term with the evidence is an entry.
 
     Of rows with the same sketch (the least hash of their word pairs) one counts, or copies of a document
-    would make evidence of its chance words.
+    would make evidence of its chance words; the one with the least hash, so that the entries don't depend on how
+    the rows are parted. Empty without rows of either class.
     """
 
     def sketch():
@@ -139,7 +140,12 @@ def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str, fl
 
         return f
 
-    sample = map_slices(sample, sketch, "text string, toxic int, sketch bigint").dropDuplicates(["sketch", "toxic"]).select("text", "toxic")
+    folded = map_slices(sample, sketch, "text string, toxic int, sketch bigint")
+    sample = materialise(folded.groupBy("sketch", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("text", "toxic"), "unlike")
+    found = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n_toxic, n_clean = found.get(1, 0), found.get(0, 0)
+    if not n_toxic or not n_clean:
+        return {}
 
     def start():
         def f(rows: dict) -> dict:
@@ -157,8 +163,7 @@ def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str, fl
     evidence = F.col("toxic") * F.log(share / base) + F.col("clean") * F.log(F.greatest(1 - share, F.lit(1e-9)) / (1 - base))
     odds = F.log((F.col("toxic") + 0.05) / (n_toxic + 1) / ((F.col("clean") + 0.05) / (n_clean + 1)))
     best = counted.where("toxic > 0").withColumn("odds", odds).where((F.col("odds") > 2.5) & (evidence > EVIDENCE))
-    found = best.orderBy(F.desc("toxic"), F.desc("odds"), "term").limit(LEARNED).collect()
-    weights = {r["term"]: float(r["odds"]) for r in found}
+    weights = {r["term"]: float(r["odds"]) for r in sorted(best.select("term", "odds").collect())}  # of the bounded rows' terms
     # a longer entry that is matched wherever its stem is adds nothing
     return {t: w for t, w in weights.items() if not any(t[:n] != t and weights.get(t[:n], 0) >= w - 0.7 for n in STEMS)}
 
@@ -181,8 +186,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from docs(doc_id, text) and labels(doc_id, toxic).
 
     At most TOXIC_ROWS and CLEAN_ROWS labelled rows, by the order of a hash of doc_id. Rows whose toxic
-    isn't 0 or 1 or whose doc_id is null teach nothing; of documents that share a doc_id one does. With either class missing among the
-    documents the prior alone is used.
+    isn't 0 or 1 or whose doc_id is null teach nothing; of documents that share a doc_id the one whose text has the least
+    hash does, with the smaller of its labels. With either class missing among the documents the prior alone is
+    used. The model doesn't depend on how the tables are parted.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     picked = None
@@ -196,13 +202,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if len({t for _, t in ids}) < 2:
         return alone
     chosen = spark.createDataFrame(ids, T.StructType([known.schema["doc_id"], T.StructField("toxic", T.IntegerType())]))
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    sample = sample.groupBy("doc_id").agg(F.min_by(F.struct("text", "toxic"), F.struct(F.xxhash64("text"), "text", "toxic")).alias("row")).select("row.*")
     sample = materialise(sample, "labelled")  # read three times, and as bounded as the labels picked
     found = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(found) < 2:
         return alone
-    n_toxic, n_clean = found[1], found[0]
-    entries = prior | {k: max(v, prior.get(k, 0.0)) for k, v in learn_lexicon(sample, n_toxic, n_clean).items()}
+    entries = prior | {k: max(v, prior.get(k, 0.0)) for k, v in learn_lexicon(sample).items()}
 
     def start():
         folder, lexicon = Folder(), Lexicon(entries)
@@ -228,7 +234,7 @@ def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",), n
     if name in carry:
         raise ValueError(f"a carried column must not be named {name!r}")
     schema = T.StructType([*[docs.schema[c] for c in carry], T.StructField(name, T.DoubleType())])
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # LEARNED entries and the prior at most
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # entries learned from the bounded labelled rows, and the prior
 
     def start():
         own = shipped.value.start()
