@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage and survives lost executors.
 
-    The table goes when the session's file system closes.
+    The table goes by discard(), or when the session's file system closes.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -45,7 +45,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Deletes tables of materialise() whose last reader is done."""
+    for df in written:
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def stored_bytes(df: DataFrame) -> int:
