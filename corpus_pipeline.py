@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewright.llm import langid, ngram_join, packing, toxicity
-from tidewright.llm._common import materialise, stored_bytes, table
+from tidewright.llm._common import broadcast_if_small, materialise, table
 
 #: A language with less than this score isn't told apart from chance among four.
 LEAST_LANGUAGE_SCORE = 0.25
@@ -48,8 +48,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         return near_duplicate_rows(docs)
     groups = materialise(ngram_join.similar_groups(docs), "groups")
     removed = materialise(groups.where("doc_id <> component_id").select("doc_id").distinct(), "removed")
-    small = stored_bytes(removed) <= ngram_join.BROADCAST_BYTES
-    return docs.join(F.broadcast(removed) if small else removed, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(broadcast_if_small(removed), "doc_id", "left_anti").select(*docs.columns)
 
 
 def near_duplicate_rows(docs: DataFrame) -> DataFrame:
@@ -63,8 +62,7 @@ def near_duplicate_rows(docs: DataFrame) -> DataFrame:
     groups = materialise(groups.join(rows.select(node, order.alias("order")), node), "groups")
     least = groups.groupBy("group").agg(F.min("order").alias("least")).select(F.col("least.node").alias(node))
     removed = materialise(groups.select(node).join(least, node, "left_anti"), "removed")
-    small = stored_bytes(removed) <= ngram_join.BROADCAST_BYTES
-    return rows.join(F.broadcast(removed) if small else removed, node, "left_anti").select(*docs.columns)
+    return rows.join(broadcast_if_small(removed), node, "left_anti").select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
