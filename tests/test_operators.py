@@ -252,3 +252,48 @@ def test_personal_data_is_judged_by_all_values(spark):
     got = {c["name"]: (c["pii"]["level"], c["pii"]["category"]) for c in profile.profile_table(df, "t")["columns"]}
     assert got == {"id": ("none", None), "contact": ("likely", "email"), "ref": ("likely", "credit_card"), "origin": ("likely", "phone"), "remark": ("none", None), "due": ("none", None)}
     assert {r.category: (r.hits, r["values"]) for r in profile.pii_shares(df, "contact").collect()}["email"] == (500, 500)
+
+
+def test_exact_profiles_need_neither_expand_nor_value_maps(spark):
+    """Distincts and medians of odd columns, against plain Python; only plain partial aggregates in the plan."""
+    import decimal
+    import statistics
+
+    rng = __import__("random").Random(4)
+    rows = []
+    for i in range(3000):
+        d = decimal.Decimal(rng.randint(-500, 500)) / 100
+        rows.append((i, rng.choice([None, 1, 2, 3]), rng.choice([0.0, -0.0, 1.5, float(rng.randint(-9, 9)), None]), d, rng.choice(["a", "b", "", None]), i % 2 == 0, dt.date(2024, 1, 1 + i % 28), dt.datetime(2024, 1, 1, i % 24), b"x" * (i % 3), [i % 5], (1 << 62) + i % 7))
+    df = spark.createDataFrame(rows, "k bigint, few int, x double, d decimal(9,2), s string, b boolean, day date, at timestamp, raw binary, arr array<int>, big bigint")
+    got = {r["column"]: r for r in profile.column_stats(df).collect()}
+    for at, name in enumerate(df.columns):
+        values = [r[at] for r in rows if r[at] is not None]
+        assert got[name]["distinct"] == len({tuple(v) if isinstance(v, list) else v for v in values}), name
+        if name in ("k", "few", "x", "d"):
+            assert got[name]["median"] == pytest.approx(float(statistics.median(values))), name
+    fields = profile._simple(df)
+    plan = profile._counted(df, fields, list(range(len(fields))), {0: (1.0, 2.0)})._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "median" not in plan and "percentile" not in plan and "ObjectHashAggregate" not in plan
+    nan = spark.createDataFrame([(float("nan"),), (1.0,), (2.0,), (float("nan"),), (float("nan"),)], "x double")
+    assert profile.column_stats(nan).first()["distinct"] == 3
+    none = {r["column"]: r for r in profile.column_stats(df.where("false")).collect()}
+    assert none["k"]["distinct"] == 0 and none["k"]["median"] is None and none["k"]["null_ratio"] == 0.0 and none["k"]["uniqueness"] == 0.0
+
+
+def test_a_rule_that_does_not_fit_leaves_the_others(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, s string")
+    rules = [quality._rule("range", "s", min=0.0, max=1.0, tolerance=0.0), quality._rule("not_null", "id"), quality._rule("unique", "id")]
+    got = quality.evaluate(df, rules)
+    assert [r["passed"] for r in got] == [False, True, True]
+
+    class Lost(Exception):
+        pass
+
+    class Broken:
+        columns = ["id"]
+
+        def agg(self, *_):
+            raise Lost
+
+    with pytest.raises(Lost):
+        quality.evaluate(Broken(), rules[1:])

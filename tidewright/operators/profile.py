@@ -43,37 +43,118 @@ def _simple(df: DataFrame) -> list[T.StructField]:
     return [f for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
 
 
+#: percentile_approx of this accuracy brackets a median: ranks are right to within 1 / ACCURACY of all values.
+ACCURACY = 10_000
+
+
+def _counted(df: DataFrame, fields: list[T.StructField], wanted: list[int], bounds: dict[int, tuple[float, float]]) -> DataFrame | None:
+    """i, side, x, n, values: how often each column's values occur, what lies below (-1) and above (1) its bounds as one row.
+
+    One unpivoted (column, value) -> count for all columns of a kind: integers and what they can stand for, doubles,
+    texts. Columns without bounds are one row (side 0, x null). None if none of the columns has such a kind.
+    """
+    kinds: dict[str, list] = {"bigint": [], "double": [], "string": []}
+    scales: dict[int, float] = {}
+    for i in wanted:
+        f, c = fields[i], F.col(f"`{fields[i].name}`")
+        if isinstance(f.dataType, T.DecimalType) and f.dataType.precision <= 15:  # exact in a double, so that dividing gives the value again
+            scales[i] = 10.0**f.dataType.scale
+            kinds["bigint"].append((i, (c * F.lit(10**f.dataType.scale).cast("decimal(16,0)")).cast("bigint")))
+        elif isinstance(f.dataType, T.IntegralType):
+            kinds["bigint"].append((i, c.cast("bigint")))
+        elif isinstance(f.dataType, T.BooleanType):
+            kinds["bigint"].append((i, c.cast("int").cast("bigint")))
+        elif isinstance(f.dataType, T.DateType):
+            kinds["bigint"].append((i, F.unix_date(c).cast("bigint")))
+        elif isinstance(f.dataType, T.TimestampType):
+            kinds["bigint"].append((i, F.unix_micros(c)))
+        elif isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            kinds["double"].append((i, c.cast("double") + 0.0))
+        elif isinstance(f.dataType, T.BinaryType):
+            kinds["string"].append((i, F.hex(c)))
+        elif isinstance(f.dataType, (T.StringType, T.DecimalType, T.TimestampNTZType)):
+            kinds["string"].append((i, c.cast("string")))
+    known = [(i, *bounds.get(i, (None, None)), scales.get(i, 1.0)) for i in wanted]
+    limits = F.broadcast(df.sparkSession.createDataFrame(known, "i int, low double, high double, scale double"))  # a row for each column
+    out = None
+    for columns in kinds.values():
+        if not columns:
+            continue
+        long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), v.alias("v")) for i, v in columns])).alias("p")).select("p.*").where("v is not null")
+        x = F.col("v").cast("double") / F.col("scale")
+        side = F.when(F.col("low").isNull(), 0).when(x < F.col("low"), -1).when(x > F.col("high"), 1).otherwise(0)
+        counted = long.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")).join(limits, "i").select("i", "n", side.alias("side"), F.when((side == 0) & F.col("low").isNotNull(), x).alias("x"))
+        counted = counted.groupBy("i", "side", "x").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("values"))
+        out = counted if out is None else out.unionByName(counted)
+    return out
+
+
+def _distincts_and_medians(df: DataFrame, fields: list[T.StructField], wanted: list[int], bounds: dict[int, tuple[float, float]]) -> tuple[dict[int, int], dict[int, float]]:
+    """Exact numbers of distinct values, and medians of the columns with bounds, which must hold their middle values."""
+    counted = _counted(df, fields, wanted, bounds)
+    distinct: dict[int, int] = dict.fromkeys(wanted, 0)
+    medians: dict[int, float] = {}
+    if counted is not None:
+        ordered = Window.partitionBy("i").orderBy("side", "x")  # what lies within the bounds, and two rows
+        reach = F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+        every = Window.partitionBy("i").orderBy("side", "x").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        ranked = counted.withColumns({"reach": reach, "total": F.sum("n").over(every), "distinct": F.sum("values").over(every)})
+        low, high = F.floor((F.col("total") + 1) / 2), F.floor((F.col("total") + 2) / 2)
+        held = [((F.col("reach") - F.col("n") < r) & (F.col("reach") >= r)) for r in (low, high)]
+        for r in ranked.where(held[0] | held[1]).select("i", "side", "x", "distinct", *[h.alias(k) for h, k in zip(held, ("first", "second"), strict=True)]).collect():  # two rows for each column
+            distinct[r["i"]] = r["distinct"]
+            if r["x"] is not None:
+                medians.setdefault(r["i"], []).extend([r["x"]] * (r["first"] + r["second"]))
+    done = {i: (v[0] + v[1]) / 2 for i, v in medians.items() if len(v) == 2}
+    for i in wanted:
+        f = fields[i].dataType
+        if isinstance(f, (T.StructType, T.ArrayType)) or not isinstance(f, (T.NumericType, T.BooleanType, T.DatetimeType, T.BinaryType, T.StringType)):
+            distinct[i] = df.agg(F.count_distinct(F.col(f"`{fields[i].name}`"))).first()[0]
+    return distinct, done
+
+
 def column_stats(df: DataFrame, exact: bool = True, looks: bool = False) -> DataFrame:
     """A row for each column: count, nulls, distinct, uniqueness, min, max, mean, std, median.
 
-    All columns in one aggregate. Distinct counts are exact or, with exact=False, approximate; median likewise.
+    Two jobs: one aggregate for what partial aggregates can hold, and, for exact distinct counts and medians, counts
+    of all columns' values, of which only those around the middle are ranked. With exact=False both are estimates.
     min and max are text; mean, std and median are of numbers only. An empty table has null_ratio 0. With looks=True
     there is a column of that name: for text columns, the counts of value_counts over all values.
     """
     fields = _simple(df)
     aggs: list[Column] = [F.count(F.lit(1)).alias("n")]
+    numbers = [i for i, f in enumerate(fields) if isinstance(f.dataType, T.NumericType)]
     for i, f in enumerate(fields):
         c = F.col(f"`{f.name}`")
-        number = isinstance(f.dataType, T.NumericType)
-        aggs += [F.count(c).alias(f"c{i}"), (F.count_distinct(c) if exact else F.approx_count_distinct(c)).alias(f"d{i}")]
+        aggs.append(F.count(c).alias(f"c{i}"))
+        if not exact:
+            aggs.append(F.approx_count_distinct(c).alias(f"d{i}"))
         ordered = not isinstance(f.dataType, (T.StructType, T.ArrayType, T.BinaryType))
         aggs += [(F.min(c) if ordered else F.lit(None)).cast("string").alias(f"lo{i}"), (F.max(c) if ordered else F.lit(None)).cast("string").alias(f"hi{i}")]
-        x = c.cast("double") if number else F.lit(None).cast("double")
-        if looks:
-            counts = value_counts(c) if isinstance(f.dataType, T.StringType) else {}
-            aggs.append((F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), n)]) if counts else F.lit(None).cast("map<string,bigint>")).alias(f"p{i}"))
-        aggs += [F.avg(x).alias(f"m{i}"), F.coalesce(F.stddev_samp(x), F.when(F.count(x) > 0, F.lit(0.0))).alias(f"s{i}"), (F.median(x) if exact else F.percentile_approx(x, 0.5)).alias(f"q{i}")]
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(f.name).alias("column"), F.lit(kind_of(f.dataType)).alias("dtype"), F.col("n").alias("rows"), F.col(f"c{i}").alias("count"), (F.col("n") - F.col(f"c{i}")).alias("nulls"),
-                F.col(f"d{i}").alias("distinct"), F.coalesce(F.try_divide(F.col(f"d{i}"), F.col(f"c{i}")), F.lit(0.0)).alias("uniqueness"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"),
-                F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std"), F.col(f"q{i}").alias("median"), *([F.col(f"p{i}").alias("looks")] if looks else []),
-            )
-            for i, f in enumerate(fields)
-        ]
-    )
-    return df.agg(*aggs).select(F.inline(rows)).withColumn("null_ratio", F.coalesce(F.try_divide("nulls", "rows"), F.lit(0.0)))
+        if looks and isinstance(f.dataType, T.StringType):
+            aggs.append(F.create_map(*[x for k, n in value_counts(c).items() for x in (F.lit(k), n)]).alias(f"p{i}"))
+        if i in numbers:
+            x = c.cast("double")
+            around = F.array(F.lit(0.5 - 2 / ACCURACY), F.lit(0.5), F.lit(0.5 + 2 / ACCURACY))
+            aggs += [F.avg(x).alias(f"m{i}"), F.coalesce(F.stddev_samp(x), F.when(F.count(x) > 0, F.lit(0.0))).alias(f"s{i}"), F.percentile_approx(x, around, ACCURACY).alias(f"q{i}")]
+    got = df.agg(*aggs).first()
+    if exact:
+        every = list(range(len(fields)))
+        bounds = {i: (got[f"q{i}"][0], got[f"q{i}"][2]) for i in numbers if got[f"q{i}"]}
+        distinct, medians = _distincts_and_medians(df, fields, every, bounds)
+        missed = [i for i in bounds if i not in medians]  # with NaN among the values the bounds may be off
+        if missed:
+            medians |= _distincts_and_medians(df, fields, missed, dict.fromkeys(missed, (float("-inf"), float("nan"))))[1]
+    else:
+        distinct = {i: got[f"d{i}"] for i in range(len(fields))}
+        medians = {i: got[f"q{i}"][1] for i in numbers if got[f"q{i}"]}
+    rows = []
+    for i, f in enumerate(fields):
+        n, count, number = got["n"], got[f"c{i}"], i in numbers
+        row = [f.name, kind_of(f.dataType), n, count, n - count, distinct[i], distinct[i] / count if count else 0.0, got[f"lo{i}"], got[f"hi{i}"], got[f"m{i}"] if number else None, got[f"s{i}"] if number else None, medians.get(i)]
+        rows.append((*row, *([got[f"p{i}"] if isinstance(f.dataType, T.StringType) else None] if looks else []), (n - count) / n if n else 0.0))
+    schema = "column string, dtype string, rows bigint, count bigint, nulls bigint, distinct bigint, uniqueness double, min string, max string, mean double, std double, median double"
+    return df.sparkSession.createDataFrame(rows, schema + (", looks map<string,bigint>" if looks else "") + ", null_ratio double")
 
 
 def top_values(df: DataFrame, columns: list[str] | None = None, k: int = TOP) -> DataFrame:
@@ -177,9 +258,11 @@ def profile_table(df: DataFrame, table: str, exact: bool = True, sample_rows: in
     stats = [r.asDict() for r in column_stats(df, exact, looks=True).collect()]  # a row for each column
     near = [s for s in stats if not exact and s["uniqueness"] >= NEARLY_UNIQUE]
     if near:
-        counted = df.agg(*[F.count_distinct(F.col(f"`{s['column']}`")).alias(f"d{i}") for i, s in enumerate(near)]).first()
-        for s, n in zip(near, counted, strict=True):
-            s["distinct"], s["uniqueness"] = n, n / s["count"]
+        fields = _simple(df)
+        counted, _ = _distincts_and_medians(df, fields, [i for i, f in enumerate(fields) if f.name in {s["column"] for s in near}], {})
+        by = {fields[i].name: n for i, n in counted.items()}
+        for s in near:
+            s["distinct"], s["uniqueness"] = by[s["column"]], by[s["column"]] / s["count"]
     tops: dict[str, list[dict]] = {}
     for r in top_values(df).orderBy("column", "rank").collect():  # TOP rows for each column
         tops.setdefault(r["column"], []).append({"value": r["value"], "count": r["count"]})

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from typing import Any
 
+from pyspark.errors import AnalysisException, ArithmeticException, DateTimeException, NumberFormatException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.spec import Reference
 
+#: What a rule that doesn't fit its column's type or values raises.
+UNEVALUABLE = (AnalysisException, ArithmeticException, DateTimeException, NumberFormatException)
 WEIGHTS = {"integrity": 0.35, "completeness": 0.25, "validity": 0.25, "consistency": 0.15}
 CATEGORY = {"unique": "integrity", "foreign_key": "integrity", "not_null": "completeness", "range": "validity", "accepted_values": "consistency"}
 
@@ -67,10 +70,11 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, parent_column: str
 
 def evaluate(df: DataFrame, rules: list[dict], parents: dict[str, DataFrame] | None = None) -> list[dict]:
     """Each rule with passed and evidence. A missing column fails; a parent that isn't given passes; an unknown rule passes.
+    A rule that can't be evaluated on the column's values fails with the reason; other errors, such as lost executors, are raised.
 
     One aggregate for all rules of one table, and one anti join for each reference.
     """
-    aggs: list[Column] = []
+    aggs: dict[str, Column] = {}
     for i, r in enumerate(rules):
         p = r["params"]
         if p["column"] not in df.columns:
@@ -78,20 +82,23 @@ def evaluate(df: DataFrame, rules: list[dict], parents: dict[str, DataFrame] | N
         c = F.col(f"`{p['column']}`")
         kind = r["rule_type"]
         if kind == "not_null":
-            aggs.append(not_null_ratio(c).alias(f"r{i}"))
+            aggs[f"r{i}"] = not_null_ratio(c).alias(f"r{i}")
         elif kind == "unique":
-            aggs.append(uniqueness(c).alias(f"r{i}"))
+            aggs[f"r{i}"] = uniqueness(c).alias(f"r{i}")
         elif kind == "range":
-            aggs.append(out_of_range(c, p["min"], p["max"]).alias(f"r{i}"))
+            aggs[f"r{i}"] = out_of_range(c, p["min"], p["max"]).alias(f"r{i}")
         elif kind == "accepted_values":
-            aggs.append(not_accepted(c, p["values"]).alias(f"r{i}"))
+            aggs[f"r{i}"] = not_accepted(c, p["values"]).alias(f"r{i}")
     got: dict[str, Any] = {}
-    failed = ""
-    if aggs:
-        try:
-            got = df.agg(*aggs).first().asDict()
-        except Exception as e:  # what can't be evaluated fails, with its reason
-            failed = str(e)[:300]
+    failed: dict[str, str] = {}
+    try:
+        got = df.agg(*aggs.values()).first().asDict() if aggs else {}
+    except UNEVALUABLE:  # some rule's: each by itself, so that the others stand
+        for name, agg in aggs.items():
+            try:
+                got[name] = df.agg(agg).first()[0]
+            except UNEVALUABLE as e:
+                failed[name] = str(e)[:300]
     out = []
     for i, r in enumerate(rules):
         p, kind = r["params"], r["rule_type"]
@@ -105,8 +112,8 @@ def evaluate(df: DataFrame, rules: list[dict], parents: dict[str, DataFrame] | N
                 out.append(r | {"passed": n == 0, "evidence": f"{n} orphans"})
         elif kind not in CATEGORY:
             out.append(r | {"passed": True, "evidence": "unknown rule"})
-        elif failed:
-            out.append(r | {"passed": False, "evidence": failed})
+        elif f"r{i}" in failed:
+            out.append(r | {"passed": False, "evidence": failed[f"r{i}"]})
         else:
             v = got[f"r{i}"]
             passed = v >= 1.0 if kind == "unique" else v <= p.get("tolerance", 0.0)
