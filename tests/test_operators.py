@@ -4,7 +4,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.errors import LoadError, QueryTimeoutError, TidewrightError, UnsafeSqlError
+from tidewright.errors import LoadError, MissingDependencyError, QueryTimeoutError, TidewrightError, UnsafeSqlError
 from tidewright.operators import insights, load, profile, quality, season_report, semantic, sizing
 from tidewright.operators.explorer import Explorer, guard_select
 from tidewright.plans.generate import Generator, plan_dataset, plan_from_profiles
@@ -297,3 +297,73 @@ def test_a_rule_that_does_not_fit_leaves_the_others(spark):
 
     with pytest.raises(Lost):
         quality.evaluate(Broken(), rules[1:])
+
+
+def test_merge_with_null_keys_and_ties(spark, tmp_path):
+    a = spark.createDataFrame([(1, "a", 1), (None, "n", 1)], "id int, v string, day int")
+    b = spark.createDataFrame([(None, "N", 2), (2, "x", 1), (2, "y", 3), (2, "z", 2)], "id int, v string, day int")
+    want = [(1, "a", 1), (2, "y", 3), (None, "N", 2)]
+    once = load.merge(a, b, ["id"], "day")
+    assert sorted(map(tuple, once.collect()), key=str) == want and sorted(map(tuple, load.merge(once, b, ["id"], "day").collect()), key=str) == want
+    kept = {load.merge(a, b.repartition(n), ["id"]).where("id = 2").first().v for n in (1, 3, 7)}
+    assert len(kept) == 1
+    assert load.delete_insert(a, b, "id").where("id is null").count() == 1
+    # a load that was lost between its two moves
+    path = f"{tmp_path}/t"
+    load.load_table(a, path, load.TableLoad("t"))
+    import os
+
+    os.rename(path, f"{path}.old-x")
+    os.mkdir(f"{path}.new-y")
+    load.load_table(b, path, load.TableLoad("t", "merge", ["id"], "day"))
+    assert sorted((tuple(r) for r in spark.read.parquet(path).collect()), key=str) == want and sorted(os.listdir(tmp_path)) == ["t"]
+
+
+def test_destinations(spark, tmp_path, monkeypatch):
+    from tidewright.operators import destinations as dest
+
+    monkeypatch.setenv("OUT", str(tmp_path))
+    config = {
+        "pipeline": {"sink": {"address": "file://${OUT}/a", "table": "x_", "incremental-strategy": "merge", "options": {"primary-key": "id", "schemaNaming": "snake_case"}}},
+        "pipelines": [{"name": "db", "source": {"address": "file://${OUT}/in", "table": "in"}, "sink": {"uri": "duckdb://${OUT}/w.duckdb", "dest_table": "main.orders", "batchsize": 7}}],
+        "workflows": [{"name": "w", "sinks": [{"uri": "derby://memory:d"}, {"uri": "csv://${OUT}/c"}]}],
+    }
+    got = dest.destinations(config)
+    assert [(d.name, d.incremental_strategy, d.primary_key, d.target("orders")) for d in got] == [("default", "merge", ["id"], "x_orders"), ("db", "replace", [], "main.orders"), ("w_1", "replace", [], "orders"), ("w_2", "replace", [], "orders")]
+    assert got[1].source.table == "in" and got[1].options == {"batchsize": 7}
+    a = spark.createDataFrame([(1, " a ", 1.5)], "id int, `firstName` string, x double")
+    assert dest.write_to(a, got[0], "t") == f"{tmp_path}/a/x_t"
+    dest.write_to(spark.createDataFrame([(1, "b", "new"), (2, "c", None)], "id int, `firstName` string, more string"), got[0], "t")
+    rows = {r.id: r for r in spark.read.parquet(f"{tmp_path}/a/x_t").collect()}
+    assert rows[1].first_name == "b" and rows[1].more == "new" and rows[2].x is None
+    b = dest.Destination("n", f"file://{tmp_path}/b", columns="key:bigint:id,firstName::firstName,x:decimal(9,2)", mask={"firstName": "hash"}, trim_whitespace=True)
+    assert dest.shaped(a, b).dtypes == [("key", "bigint"), ("firstName", "string"), ("x", "decimal(9,2)")]
+    more = spark.createDataFrame([(1, None), (2, "q")], "id int, z string")
+    have = spark.createDataFrame([], "id int, y string")
+    for contract, n, columns in (("evolve", 2, {"id", "y", "z"}), ("discard_row", 1, {"id", "y"}), ("discard_value", 2, {"id", "y"})):
+        out = dest.shaped(more, dest.Destination("n", "file:///x", schema_contract=contract), have)
+        assert out.count() == n and set(out.columns) == columns
+    with pytest.raises(LoadError):
+        dest.shaped(more, dest.Destination("n", "file:///x", schema_contract="freeze"), have)
+    duck = dest.Destination("d", f"duckdb://{tmp_path}/w.duckdb", incremental_strategy="merge", primary_key="id")
+    for rows in ([(1, "a"), (2, "b")], [(2, "B"), (3, "c")]):
+        dest.write_to(spark.createDataFrame(rows, "id int, v string"), duck, "t")
+    import duckdb
+
+    with duckdb.connect(f"{tmp_path}/w.duckdb") as con:
+        assert con.execute("SELECT * FROM t ORDER BY 1").fetchall() == [(1, "a"), (2, "B"), (3, "c")]
+    # database to database, with the driver that Spark ships
+    spark.range(5).selectExpr("cast(id as int) as id", "concat('v', id) as v").write.format("jdbc").option("url", f"jdbc:derby:{tmp_path}/src;create=true").option("driver", "org.apache.derby.iapi.jdbc.AutoloadedDriver").option("dbtable", "t").save()
+    live = dest.Destination("l", f"derby://{tmp_path}/out?create=true", source=dest.Source(f"derby://{tmp_path}/src", sql="SELECT * FROM t WHERE \"id\" < 4"))
+    dest.replicate(spark, live, "t")
+    up = dest.Destination("l", f"derby://{tmp_path}/out", incremental_strategy="merge", primary_key="id", source=dest.Source(f"derby://{tmp_path}/src", "t"))
+    dest.replicate(spark, up, "t")
+    assert dest.read_source(spark, dest.Source(f"derby://{tmp_path}/out", "t"), "t").count() == 5
+    with pytest.raises(MissingDependencyError):
+        dest.write_to(a, dest.Destination("p", "postgresql://u:p@h/db"), "t")
+    with pytest.raises(LoadError):
+        dest.write_to(a, dest.Destination("p", "nowhere://x"), "t")
+    for bad in ({"pipeline": {"name": "x"}}, {"pipeline": {"sink": {"table": "t"}}}, {"pipelines": [{"name": "a", "sink": {"uri": "csv://x"}}, {"name": "a", "sink": {"uri": "csv://x"}}]}):
+        with pytest.raises(LoadError):
+            dest.destinations(bad)
+    assert dest.jdbc_options("mssql://u:p%40@h:1433/db?x=1") == {"url": "jdbc:sqlserver://h:1433;databaseName=db;x=1", "driver": "com.microsoft.sqlserver.jdbc.SQLServerDriver", "user": "u", "password": "p@"}

@@ -7,10 +7,12 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import LoadError
 from ..graph import waves
@@ -28,15 +30,32 @@ def within(df: DataFrame, key: str | None, start: Any = None, end: Any = None) -
     return df
 
 
-def merge(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    """Target rows that the source doesn't have by key, and the source's rows; of equal keys in the source one stays."""
-    source = source.dropDuplicates(keys)
-    return target.join(source.select(*keys), keys, "left_anti").select(*target.columns).unionByName(source.select(*target.columns))
+def _without(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
+    """Target rows whose keys no source row has; null keys are equal."""
+    have = source.select(*[F.col(f"`{k}`").alias(f"__{i}") for i, k in enumerate(keys)]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"__{i}")) for i, k in enumerate(keys)])
+    return target.join(have, same, "left_anti")
+
+
+def merge(target: DataFrame, source: DataFrame, keys: list[str], latest: str | None = None) -> DataFrame:
+    """Target rows that the source doesn't have by key, and the source's rows; null keys are equal.
+
+    Of equal keys in the source the row with the largest `latest` stays, else and among those the one with the
+    largest hash: a rerun gives the same table.
+    """
+    rest = [c for c in source.columns if c not in keys]
+    order = F.struct(*([F.col(f"`{latest}`")] if latest else []), F.xxhash64(*[F.col(f"`{f.name}`") for f in source.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]))
+    if rest:
+        one = source.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), order).alias("__row"))
+        one = one.select(*[F.col(f"`{c}`") if c in keys else F.col("__row")[c].alias(c) for c in source.columns])
+    else:
+        one = source.distinct()
+    return _without(target, source, keys).select(*[F.col(f"`{c}`") for c in target.columns]).unionByName(one.select(*[F.col(f"`{c}`") for c in target.columns]))
 
 
 def delete_insert(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
-    """Target rows outside of the incremental key values that the source holds, and the source's rows."""
-    return target.join(source.select(key).distinct(), key, "left_anti").select(*target.columns).unionByName(source.select(*target.columns))
+    """Target rows outside of the incremental key values that the source holds, and the source's rows; nulls are equal."""
+    return _without(target, source, [key]).unionByName(source.select(*[F.col(f"`{c}`") for c in target.columns]))
 
 
 def mask(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -73,10 +92,28 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def recover(spark: SparkSession, path: str) -> None:
+    """Puts back the table that a load moved aside before it was lost; removes what such loads left beside a table."""
+    p, fs = _path(spark, path)
+    for kind in ("old", "new"):
+        found = fs.globStatus(_path(spark, f"{path.rstrip('/')}.{kind}-*")[0])
+        for k in range(len(found or ())):
+            left = found[k].getPath()
+            if kind == "old" and not fs.exists(p):
+                fs.rename(left, p)
+            else:
+                fs.delete(left, True)
+
+
 def load_table(source: DataFrame, path: str, spec: TableLoad) -> None:
-    """Writes a table at path by its strategy. A rewrite goes beside the table first, and is then moved in its place."""
+    """Writes a table at path by its strategy. One writer at a time.
+
+    A rewrite goes beside the table first; then the table moves aside, the new one in its place, and the old one goes.
+    If a load is lost between the two moves, the next one finds the old table and puts it back.
+    """
     spark = source.sparkSession
     source = within(source, spec.incremental_key, spec.start, spec.end)
+    recover(spark, path)
     p, fs = _path(spark, path)
     exists = fs.exists(p)
     if spec.strategy == "append":
@@ -85,13 +122,17 @@ def load_table(source: DataFrame, path: str, spec: TableLoad) -> None:
     out = source
     if exists and spec.strategy != "replace":
         target = spark.read.parquet(path)
-        out = merge(target, source, spec.keys) if spec.strategy == "merge" else delete_insert(target, source, spec.incremental_key)
-    beside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+        out = merge(target, source, spec.keys, spec.incremental_key) if spec.strategy == "merge" else delete_insert(target, source, spec.incremental_key)
+    beside, aside = (f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
     out.write.partitionBy(*spec.partition_by).parquet(beside)
-    if exists:
-        fs.delete(p, True)
+    if exists and not fs.rename(p, _path(spark, aside)[0]):
+        raise LoadError(f"can't move {path} aside")
     if not fs.rename(_path(spark, beside)[0], p):
+        if exists:
+            fs.rename(_path(spark, aside)[0], p)
         raise LoadError(f"can't move {beside} to {path}")
+    if exists:
+        fs.delete(_path(spark, aside)[0], True)
 
 
 def plan_load(tables: list[TableLoad], references: list[Reference]) -> list[list[TableLoad]]:

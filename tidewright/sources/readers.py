@@ -158,50 +158,29 @@ def read_parquet(spark: SparkSession, d: Detection, options: dict) -> DataFrame:
 
 
 def read_pg_dump(spark: SparkSession, d: Detection, options: dict) -> DataFrame:
-    """The first COPY block of a dump: all columns text, \\N is null, rows of another width are left out."""
-    lines = spark.read.text(d.path)
-    start = lines.where(F.col("value").rlike(r"(?i)^COPY .* FROM stdin;\s*$")).first()
+    """The first COPY block of a dump: all columns text, \\N is null, rows of another width are left out.
+
+    Lines are read in parallel, from any storage: a line's place is where its split starts and its number in it.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.option("lineSep", "\n").text(d.path).select(F.regexp_replace("value", "\r$", "").alias("v"), place.alias("at"))
+    start = lines.where(F.col("v").rlike(r"(?i)^COPY .* FROM stdin;\s*$")).agg(F.min(F.struct("at", "v")).alias("first")).first()["first"]
     if not start:
         raise SourceError("the dump has no COPY block")
-    m = re.match(r"(?i)^COPY\s+(\S+)\s*\(([^)]*)\)\s+FROM stdin;", start["value"])
+    m = re.match(r"(?i)^COPY\s+(\S+)\s*\(([^)]*)\)\s+FROM stdin;", start["v"])
     if not m:
         raise SourceError("the COPY block names no columns")
     names = [c.strip().strip('"') for c in m[2].split(",")]
-    marker, width = start["value"], len(names)
-
-    def rows(path: str) -> Iterator[tuple]:
-        inside = False
-        with open(path, encoding="utf-8", errors="replace") as f:
-            for line in f:
-                line = line.rstrip("\n")
-                if not inside:
-                    inside = line == marker
-                elif line == "\\.":
-                    return
-                else:
-                    cells = line.split("\t")
-                    if len(cells) == width:
-                        yield tuple(None if c == "\\N" else c for c in cells)
-
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    if "://" not in d.path:
-        # a dump is one sequential file: one task streams it
-        path = d.path
-
-        def stream(it):
-            import pandas as pd
-
-            for _ in it:
-                batch: list[tuple] = []
-                for r in rows(path):
-                    batch.append(r)
-                    if len(batch) == 10_000:
-                        yield pd.DataFrame(batch, columns=names)
-                        batch = []
-                yield pd.DataFrame(batch, columns=names)
-
-        return spark.range(1).coalesce(1).mapInPandas(stream, schema)
-    raise SourceError("a dump is read from a local path")
+
+    def at(r) -> F.Column:
+        return F.struct(F.lit(r["split"]).cast("bigint").alias("split"), F.lit(r["line"]).cast("bigint").alias("line"))
+
+    block = lines.where(F.col("at") > at(start["at"]))
+    end = block.where(F.col("v") == "\\.").agg(F.min("at").alias("last")).first()["last"]
+    if end:
+        block = block.where(F.col("at") < at(end))
+    cells = F.split("v", "\t", -1)
+    return block.select(cells.alias("c")).where(F.size("c") == len(names)).select(*[F.when(F.col("c")[i] != "\\N", F.col("c")[i]).alias(n) for i, n in enumerate(names)])
 
 
 def read_arrow(spark: SparkSession, d: Detection, options: dict) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Writers: parquet, CSV, JSON lines, INSERT scripts, database files; all but the last write in parallel."""
+"""Writers: parquet, CSV, JSON lines, INSERT scripts, databases, database files; all but the last write in parallel."""
 
 from __future__ import annotations
 
@@ -72,29 +72,29 @@ def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", **opti
     w.save()
 
 
-def write_duckdb(df: DataFrame, path: str, table: str, batch: int = 100_000) -> None:
-    """One database file: partitions come to the driver one at a time, in batches."""
+def write_duckdb(df: DataFrame, path: str, table: str, batch: int = 100_000, append: bool = False) -> None:
+    """One database file on the driver: executors pack rows into Arrow batches, which come to the driver one at a time."""
     import duckdb
     import pyarrow as pa
 
+    def pack(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, batch):
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, b.schema) as w:
+                    w.write_batch(b.slice(i, batch))
+                yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["batch"])
+
     con = duckdb.connect(path)
-    con.execute(f"DROP TABLE IF EXISTS {quoted(table)}")
-    made = False
-    columns, rows = df.columns, []
-
-    def flush() -> None:
-        nonlocal made
-        data = pa.Table.from_pylist([dict(zip(columns, r, strict=True)) for r in rows]) if rows else df.limit(0).toArrow()
-        con.register("__batch", data)
-        con.execute(f"INSERT INTO {quoted(table)} SELECT * FROM __batch" if made else f"CREATE TABLE {quoted(table)} AS SELECT * FROM __batch")
+    try:
+        if not append:
+            con.execute(f"DROP TABLE IF EXISTS {quoted(table)}")
+        con.register("__batch", df.limit(0).toArrow())
+        con.execute(f"CREATE TABLE IF NOT EXISTS {quoted(table)} AS SELECT * FROM __batch")
         con.unregister("__batch")
-        made = True
-        rows.clear()
-
-    for r in df.toLocalIterator(prefetchPartitions=True):
-        rows.append(tuple(r))
-        if len(rows) >= batch:
-            flush()
-    if rows or not made:
-        flush()
-    con.close()
+        for r in df.mapInArrow(pack, "batch binary").toLocalIterator(prefetchPartitions=True):
+            con.register("__batch", pa.ipc.open_stream(bytes(r["batch"])).read_all())
+            con.execute(f"INSERT INTO {quoted(table)} BY NAME SELECT * FROM __batch")
+            con.unregister("__batch")
+    finally:
+        con.close()
