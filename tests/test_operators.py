@@ -367,3 +367,32 @@ def test_destinations(spark, tmp_path, monkeypatch):
         with pytest.raises(LoadError):
             dest.destinations(bad)
     assert dest.jdbc_options("mssql://u:p%40@h:1433/db?x=1") == {"url": "jdbc:sqlserver://h:1433;databaseName=db;x=1", "driver": "com.microsoft.sqlserver.jdbc.SQLServerDriver", "user": "u", "password": "p@"}
+
+
+def test_questions_to_sql(spark):
+    from pyspark.sql import types as T
+
+    from tidewright.operators import insights
+
+    tables = {"orders": T.StructType.fromDDL("id bigint, total double, mail string"), "customer": T.StructType.fromDDL("id bigint")}
+    profiles = {"orders": {"primary_key": "id", "columns": [{"name": "mail", "pii": {"level": "likely"}, "top_values": [{"value": "a@b.c"}]}]}}
+    prompt = insights.schema_prompt(tables, profiles, [Reference("orders", "id", "customer", "id")])
+    assert "mail string (personal)" in prompt and "id int (key)" in prompt and "a@b.c" not in prompt and "orders.id refers to customer.id" in prompt
+    assert insights.question_to_sql("how many orders?", tables)["sql"] == "SELECT * FROM orders LIMIT 10"
+
+    def says(text):
+        return lambda prompt, question: text
+
+    got = insights.question_to_sql("q", tables, says('Sure: ```json\n{"sql": "WITH x AS (SELECT id FROM orders) SELECT count(*) FROM x", "confidence": 7, "tables_used": ["orders"]}\n```'))
+    assert got["confidence"] == 1.0 and got["tables_used"] == ["orders"]
+    for bad in ("no json", '{"sql": "DROP TABLE orders"}', '{"sql": "SELECT * FROM nope"}', '{"sql": "SELECT 1", "tables_used": ["nope"]}', "{not json}", '{"sql": null}'):
+        with pytest.raises(TidewrightError):
+            insights.question_to_sql("q", tables, says(bad))
+
+
+def test_partitions_follow_the_span():
+    assert sizing.months_between("2024-01-31", "2024-02-01") == 2 and sizing.months_between("2020-01-01", "2025-12-31") == 72 and sizing.months_between("2024-05-01", "2024-01-01") == 1
+    r = sizing.sizing_report(plan_dataset(load_spec(SPEC), {"fact_orders": 20_000_000}))
+    assert next(t for t in r["tables"] if t["table"] == "fact_orders")["advice"]["partitions"] == 24
+    c = {t["table"]: t for t in r["complexity"]["tables"]}
+    assert c["fact_orders"]["costs"]["customer_id"] == "parent" and c["fact_orders"]["costs"]["total"] == "formula" and c["dim_customer"]["costs"]["email"] == "text" and not r["complexity"]["warnings"]

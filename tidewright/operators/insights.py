@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import TidewrightError
 from ..types import kind_of
+from .explorer import bare, guard_select
 
 # An id by its name.
 ID = re.compile(r"(?i)(^|_)(id|key|uuid|guid|code|no|number)$|key$|_id$")
@@ -122,6 +126,69 @@ def source_queries(table: str, schema: T.StructType) -> dict[str, str]:
         out["by_category"] = f"SELECT `{d}`, sum(`{m}`) AS total FROM `{table}` GROUP BY 1 ORDER BY 2 DESC"
     if t:
         out["monthly"] = f"SELECT date_trunc('month', `{t}`) AS month, count(*) AS n FROM `{table}` GROUP BY 1 ORDER BY 1"
-    out["nulls"] = "SELECT " + ", ".join(f"count(*) - count(`{c}`) AS `{c}`" for c in cols) + f" FROM `{table}`"
+    out["nulls"] = "SELECT " + ", ".join(f"count(*) FILTER (WHERE `{c}` IS NULL) AS `{c}`" for c in cols) + f" FROM `{table}`"
     out["duplicates"] = f"SELECT coalesce(sum(n - 1), 0) AS duplicates FROM (SELECT count(*) AS n FROM `{table}` GROUP BY {', '.join(f'`{c}`' for c in cols)})"
+    every = ", ".join(f"`{c}`" for c in cols)
+    out["repeats"] = f"SELECT {every} FROM (SELECT {every}, row_number() OVER (PARTITION BY {every} ORDER BY {every}) AS place FROM `{table}`) AS q WHERE place > 1"
     return out
+
+
+# questions in words
+
+PROMPT = "Answer with one JSON object: sql (a single SELECT over the tables below), explanation, confidence (0 to 1), tables_used (their names)."
+
+
+def schema_prompt(tables: dict[str, T.StructType], profiles: dict[str, dict] | None = None, references: list | None = None, most_tables: int = 30) -> str:
+    """Tables, columns and joins for a model to read: names, kinds and marks for keys and personal data, never a value."""
+    lines = []
+    for name in sorted(tables)[:most_tables]:
+        known = {c["name"]: c for c in (profiles or {}).get(name, {}).get("columns", [])}
+        key = (profiles or {}).get(name, {}).get("primary_key")
+        cells = []
+        for f in tables[name].fields:
+            marks = ["key"] if f.name == key else []
+            marks += ["personal"] if known.get(f.name, {}).get("pii", {}).get("level", "none") != "none" else []
+            cells.append(f"{f.name} {kind_of(f.dataType)}" + (f" ({', '.join(marks)})" if marks else ""))
+        lines.append(f"{name}: " + "; ".join(cells))
+    lines += [f"{r.child}.{r.column} refers to {r.parent}.{r.parent_column}" for r in references or () if r.child in tables and r.parent in tables]
+    return "\n".join(lines)
+
+
+def parse_reply(reply: str) -> dict:
+    """The first JSON object in a model's reply, in a code fence or among words. TidewrightError if there is none."""
+    decoder = json.JSONDecoder()
+    for m in re.finditer(r"\{", reply):
+        try:
+            got, _ = decoder.raw_decode(reply, m.start())
+        except ValueError:
+            continue
+        if isinstance(got, dict):
+            return got
+    raise TidewrightError("The reply holds no JSON object.", "Ask again, or ask in other words.")
+
+
+def offline_model(prompt: str, question: str) -> str:
+    """Stands for a model where there is none: the first ten rows of the table that the question names, else of the first one."""
+    names = [line.split(":")[0] for line in prompt.splitlines() if ":" in line and " refers to " not in line]
+    words = question.lower()
+    table = next((n for n in names if n.lower() in words or n.lower().rstrip("s") in words), names[0] if names else "")
+    return json.dumps({"sql": f"SELECT * FROM {table} LIMIT 10", "explanation": f"The first rows of {table}.", "confidence": 0.1, "tables_used": [table]})
+
+
+def question_to_sql(question: str, tables: dict[str, T.StructType], model: Callable[[str, str], str] = offline_model, profiles: dict[str, dict] | None = None, references: list | None = None) -> dict:
+    """sql, explanation, confidence and tables_used from a model's reply; refused if it isn't one plain query over known tables."""
+    if not tables:
+        raise TidewrightError("There are no tables to ask about.")
+    got = parse_reply(model(f"{PROMPT}\n{schema_prompt(tables, profiles, references)}", question))
+    sql = guard_select(str(got.get("sql") or ""))
+    used = [str(t) for t in got.get("tables_used") or []]
+    own = {str(a or b).lower() for a, b in re.findall(r"(?i)(?:`(\w+)`|\b(\w+))\s+AS\s*\(", bare(sql))}  # names that WITH defines
+    named = [(a or b) for a, b in re.findall(r"(?i)\b(?:from|join)\s+(?:`([^`]+)`|(\w+))", bare(sql))]
+    unknown = sorted({t for t in [*used, *(n for n in named if n.lower() not in own)] if t.lower() not in {n.lower() for n in tables}})
+    if unknown:
+        raise TidewrightError(f"The reply uses tables that don't exist: {', '.join(unknown)}.", "Ask again, or register them.")
+    try:
+        confidence = min(1.0, max(0.0, float(got.get("confidence") or 0.0)))
+    except (TypeError, ValueError):
+        confidence = 0.0
+    return {"sql": sql, "explanation": str(got.get("explanation") or ""), "confidence": confidence, "tables_used": used}

@@ -30,6 +30,12 @@ def daily_counts(df: DataFrame, anchor: str, start: dt.date | None = None, end:
     return days.join(counts, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def date_span(df: DataFrame, anchor: str) -> DataFrame:
+    """first and last day of a date column."""
+    day = F.col(f"`{anchor}`").cast("date")
+    return df.agg(F.min(day).alias("first"), F.max(day).alias("last"))
+
+
 def weekday_means(daily: DataFrame) -> DataFrame:
     """weekday (Monday 1) and the mean count of its days."""
     return daily.groupBy((F.weekday("day") + 1).alias("weekday")).agg(F.avg("n").alias("mean_n"))

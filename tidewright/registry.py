@@ -461,8 +461,12 @@ def _analytic(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from . import registry_laws  # noqa: F401  adds its own
+
     return {name: partial(_analytic, name) for name in analytics.PACK} | QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import registry_laws  # noqa: F401
+
     return {name: analytics.oracle(name) for name in analytics.PACK} | ORACLES

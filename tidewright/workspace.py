@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import asdict
 from pathlib import Path
 from typing import Any
@@ -155,6 +156,10 @@ class Workspace:
         """A first query for a question in words: by the tables and columns it names, never by a remote model."""
         return insights.answerable(question, {n: f.schema for n, f in self.frames.items()})
 
+    def question(self, question: str, model: Callable[[str, str], str] = insights.offline_model) -> dict:
+        """A checked query for a question, by a model of the caller's (prompt, question) -> reply; offline without one."""
+        return insights.question_to_sql(question, {n: f.schema for n, f in self.frames.items()}, model, self.profiles, self.references)
+
     def model(self) -> dict:
         return semantic.build_model({n: f.schema for n, f in self.frames.items()}, self.references, {n: None for n in self.frames} | self.keys())
 
