@@ -38,7 +38,7 @@ def test_plan_fills_slots_without_overlap():
 
 def check(spark, texts, capacity=1024):
     df = spark.createDataFrame(texts, "doc_id bigint, text string, offset string")
-    out = packing.pack(packing.materialise(packing.pieces(df, packing.tokenizer_files(), capacity), "t"), capacity, bucket_rows=10).collect()
+    out = packing.pack(packing.materialise(packing.pieces(df, packing.tokenizer_files(), capacity), "t"), capacity, buckets=17).collect()
     seqs = {}
     for r in out:
         seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))

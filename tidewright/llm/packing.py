@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from ._common import map_slices, materialise, table
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-#: Rows of one (length, bucket) group, about.
-BUCKET_ROWS = 1000
 
 
 def tokenizer_files() -> tuple[str, str, str]:
@@ -108,12 +106,13 @@ def plan_slots(counts: dict[int, int], capacity: int) -> tuple[dict[int, list[tu
     return runs, made
 
 
-def pack(parts: DataFrame, capacity: int = 1024, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = 1024, buckets: int | None = None) -> DataFrame:
     """Adds sequence_id and offset to pieces of 1 to `capacity` tokens; other columns stay.
 
     `parts` is read more than once and should be a written table. It needs a column `length`; columns named
     like those that are added (sequence_id, offset) are replaced. Equal rows take slots of their own; an
-    empty table gives an empty table; a length that is null, below 1 or above `capacity` raises ValueError.
+    empty table gives an empty table; a length that is null, below 1 or above `capacity` raises ValueError. Ranks
+    go by `buckets` of each length, by default as many as the root of the number of pieces.
     """
     keep = [c for c in parts.columns if c not in ("sequence_id", "offset")]
     counted = parts.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most `capacity` rows, else refused
@@ -121,7 +120,7 @@ def pack(parts: DataFrame, capacity: int = 1024, bucket_rows: int = BUCKET_ROWS)
     if any(k is None or not 1 <= k <= capacity for k in counts):
         raise ValueError(f"lengths must lie in 1..{capacity}")
     runs, _ = plan_slots(counts, capacity)
-    buckets = max(1, sum(counts.values()) // bucket_rows)
+    buckets = buckets or max(1, int(sum(counts.values()) ** 0.5))  # of the most frequent length: no more buckets than rows in one
     order = [F.col(f"`{c}`") for c in keep if dict(parts.dtypes)[c] in ("bigint", "int", "string", "double")]
     rows = parts.select(*[F.col(f"`{c}`") for c in keep], F.pmod(F.xxhash64(*order), F.lit(buckets)).alias("__bucket"))
     before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
