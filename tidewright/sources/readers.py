@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -115,15 +116,51 @@ def database_tables(path: str, kind: str) -> list[str]:
     return out
 
 
+def list_files(spark: SparkSession, path: str) -> list[str]:
+    """All files below a path or that a pattern matches, on any storage, in order; hidden ones and markers aside."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs, out = p.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    for status in fs.globStatus(p) or ():
+        found = fs.listFiles(status.getPath(), True)
+        while found.hasNext():
+            f = found.next().getPath()
+            inner = f.toString()[len(status.getPath().toString()) :]
+            if not any(part.startswith(("_", ".")) for part in inner.split("/")):
+                out.append(f.toString())
+    return sorted(out)
+
+
+def first_lines(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """Each file's first line; compressed files by their codec. Empty files are left out."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+
+    def one(f: str) -> tuple[str, str | None]:
+        p = jvm.org.apache.hadoop.fs.Path(f)
+        stream = p.getFileSystem(conf).open(p)
+        try:
+            codec = codecs.getCodec(p)
+            return f, jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8")).readLine()
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(16) as pool:
+        return [(f, line) for f, line in pool.map(one, list_files(spark, path)) if line is not None]
+
+
 def read_csv(spark: SparkSession, d: Detection, options: dict) -> DataFrame:
     r = spark.read.option("inferSchema", str(options.get("infer_schema", True)).lower()).option("sep", options.get("delimiter") or d.delimiter or ",")
     header = options.get("header", True if d.header is None else d.header)
     r = r.option("header", str(bool(header)).lower()).option("encoding", options.get("encoding") or d.encoding or "utf-8")
     r = r.option("mode", "DROPMALFORMED" if options.get("ignore_errors") else "PERMISSIVE").option("enforceSchema", "false" if header else "true")
     if options.get("union_by_name"):
-        from .detect import _files
-
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [r.csv(f) for f in _files(d.path)])
+        # files of one header are one read, however many they are
+        by: dict[str, list[str]] = {}
+        for f, line in first_lines(spark, d.path):
+            by.setdefault(line, []).append(f)
+        if not by:
+            raise SourceError(f"no files in {d.path!r}")
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [r.csv(files) for files in by.values()])
     return r.option("recursiveFileLookup", str(d.is_folder and not d.hive_keys).lower()).csv(d.path)
 
 
@@ -296,10 +333,12 @@ def register_folder(spark: SparkSession, explorer, dataset: str, path: str) -> d
     rank = {"parquet": 0, "orc": 1, "ndjson": 2, "json": 3, "csv": 4, "tsv": 4}
     from .detect import format_of
 
-    entries = sorted(os.listdir(path), key=lambda n: (not os.path.isdir(f"{path}/{n}") and format_of(n)[0] != "parquet", rank.get(format_of(n)[0] or "", 9), n))
+    base = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = {s.getPath().getName(): s.isDirectory() for s in base.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(base)}
+    entries = sorted(found, key=lambda n: (not found[n] and format_of(n)[0] != "parquet", rank.get(format_of(n)[0] or "", 9), n))
     for n in entries:
         name = table_name(n)
-        if n.startswith((".", "_")) or name in explorer.tables.get(dataset, {}) or not os.path.isdir(f"{path}/{n}") and format_of(n)[0] not in rank:
+        if n.startswith((".", "_")) or name in explorer.tables.get(dataset, {}) or not found[n] and format_of(n)[0] not in rank:
             continue
         try:
             explorer.register(dataset, name, read(spark, f"{path}/{n}"))

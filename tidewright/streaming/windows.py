@@ -47,11 +47,21 @@ def file_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
 
 
 def drain(df: DataFrame, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all that is there and returns its result as a table in memory."""
-    name = f"drained_{uuid.uuid4().hex}"
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+    """Runs a stream over all that is there and returns its result as a table, written below the checkpoint's folder.
+
+    Of complete results the last one counts; appended batches lie side by side, and one that runs again replaces itself.
+    """
+    spark, out = df.sparkSession, f"{checkpoint}/result"
+    done: list[int] = []
+
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/__batch={batch_id}")
+        done.append(batch_id)
+
+    df.writeStream.foreachBatch(batch).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    if not done:
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(out).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def merge_stream(df: DataFrame, path: str, spec: TableLoad, checkpoint: str, every: str | None = None, seen: Callable[[int], bool] | None = None) -> StreamingQuery:
