@@ -359,6 +359,11 @@ def test_destinations(spark, tmp_path, monkeypatch):
     up = dest.Destination("l", f"derby://{tmp_path}/out", incremental_strategy="merge", primary_key="id", source=dest.Source(f"derby://{tmp_path}/src", "t"))
     dest.replicate(spark, up, "t")
     assert dest.read_source(spark, dest.Source(f"derby://{tmp_path}/out", "t"), "t").count() == 5
+    assert dest.catalog(spark, f"derby://{tmp_path}/src")["T"] == [("id", "INTEGER"), ("v", "CLOB")]
+    assert dest.sample_source(spark, f"derby://{tmp_path}/src", "T", 3).count() == 3
+    for bad in ("t; DROP TABLE t", "nope"):
+        with pytest.raises(LoadError):
+            dest.sample_source(spark, f"derby://{tmp_path}/src", bad)
     with pytest.raises(MissingDependencyError):
         dest.write_to(a, dest.Destination("p", "postgresql://u:p@h/db"), "t")
     with pytest.raises(LoadError):
@@ -396,3 +401,17 @@ def test_partitions_follow_the_span():
     assert next(t for t in r["tables"] if t["table"] == "fact_orders")["advice"]["partitions"] == 24
     c = {t["table"]: t for t in r["complexity"]["tables"]}
     assert c["fact_orders"]["costs"]["customer_id"] == "parent" and c["fact_orders"]["costs"]["total"] == "formula" and c["dim_customer"]["costs"]["email"] == "text" and not r["complexity"]["warnings"]
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tidewright.storage import shared_dir
+
+    for master, set_to in (("spark://h:7077", None), ("yarn", None), ("k8s://x", "s3a://b/c")):
+        spark = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None, v=set_to: v or d), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+        if set_to:
+            assert shared_dir(spark) == set_to
+        else:
+            with pytest.raises(RuntimeError):
+                shared_dir(spark)

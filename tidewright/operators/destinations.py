@@ -214,6 +214,41 @@ def _have(spark: SparkSession, name: str, what: str) -> None:
         raise MissingDependencyError(f"{what} needs {name}.", "Add its package to spark.jars.packages.") from e
 
 
+def catalog(spark: SparkSession, uri: str) -> dict[str, list[tuple[str, str]]]:
+    """The tables of a database, system ones aside, and each one's (column, type), as its driver tells them."""
+    uri = resolved(uri)
+    scheme = urlsplit(uri).scheme
+    if scheme not in JDBC:
+        raise LoadError(f"{scheme}:// is no database")
+    _have(spark, JDBC[scheme][1], scheme)
+    options, jvm = jdbc_options(uri), spark._jvm
+    properties = jvm.java.util.Properties()
+    for k in ("user", "password"):
+        if k in options:
+            properties.setProperty(k, options[k])
+    con = jvm.java.sql.DriverManager.getConnection(options["url"], properties)
+    try:
+        kinds = spark.sparkContext._gateway.new_array(jvm.java.lang.String, 2)
+        kinds[0], kinds[1] = "TABLE", "VIEW"
+        found, out = con.getMetaData().getTables(None, None, "%", kinds), {}
+        while found.next():
+            out[found.getString("TABLE_NAME")] = []
+        columns = con.getMetaData().getColumns(None, None, "%", "%")
+        while columns.next():
+            if columns.getString("TABLE_NAME") in out:
+                out[columns.getString("TABLE_NAME")].append((columns.getString("COLUMN_NAME"), columns.getString("TYPE_NAME")))
+        return dict(sorted(out.items()))
+    finally:
+        con.close()
+
+
+def sample_source(spark: SparkSession, uri: str, table: str, rows: int = 1000) -> DataFrame:
+    """At most `rows` rows of a database's table, cut where the database reads them. The name must be one that catalog() gives."""
+    if table not in catalog(spark, uri):
+        raise LoadError(f"the database has no table {table!r}")
+    return read_source(spark, Source(uri, f'"{table}"' if urlsplit(uri).scheme not in ("mysql", "starrocks") else f"`{table}`"), table).limit(rows)
+
+
 def read_source(spark: SparkSession, source: Source, table: str) -> DataFrame:
     """A live source's table or query: databases through JDBC, files by their format."""
     uri = resolved(source.uri)

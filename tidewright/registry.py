@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 import uuid
 from collections.abc import Callable
 from functools import partial
@@ -18,6 +17,7 @@ from .plans import analytics
 from .plans.generate import Generator, plan_dataset
 from .plans.spec import Reference, load_spec
 from .sources.readers import flatten
+from .storage import shared_dir
 from .streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -385,8 +385,8 @@ def append_window(spark, sf_dir):
 def stream_window_counts(spark, sf_dir):
     stream = windows.file_stream(spark, sf_dir, pattern="events.parquet")
     counts = windows.windowed_counts(stream, "ts", ["event_type"], "1 day")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")  # state must be where all executors reach it
-    return windows.drain(counts, f"{shared}/stream-{uuid.uuid4().hex}").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    # state must be where all executors reach it
+    return windows.drain(counts, f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 # generation: rows only; tests hold the invariants

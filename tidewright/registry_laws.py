@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +19,8 @@ from .plans.spec import load_spec
 from .registry import SPEC, query, sq, t
 from .registry import q as rounded
 from .sources import readers, sinks
+from .sources.detect import Detection
+from .storage import shared_dir
 
 
 def values(names: str, *rows: tuple) -> str:
@@ -176,12 +177,11 @@ def explorer_execute(spark, sf_dir):
 @query("SELECT c_custkey, c_name, CAST(NULL AS VARCHAR) AS c_mktsegment FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, NULL, c_mktsegment FROM customer WHERE c_custkey % 2 = 1")
 def csv_union_by_name(spark, sf_dir):
     """read_csv over files with different columns."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="csv-")
-    base = f"{shared}/csv-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
     customer = t(spark, sf_dir, "customer")
     sinks.write(customer.where("c_custkey % 2 = 0").select("c_custkey", "c_name"), f"{base}/a", "csv")
     sinks.write(customer.where("c_custkey % 2 = 1").select("c_mktsegment", "c_custkey"), f"{base}/b", "csv")
-    out = readers.read(spark, base.removeprefix("file://"), "csv", union_by_name=True, header=True)
+    out = readers.read_csv(spark, Detection(base, "local", "csv"), {"union_by_name": True, "header": True})
     return out.select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "c_name", "c_mktsegment")
 
 
