@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -14,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import shared_dir
+
 #: A-Z to a-z and nothing else; lower() would also change other alphabets.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -22,18 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir. Where it is unset a local session gets a
-    temporary one; on a cluster, whose machines share no such folder, RuntimeError."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not d:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share.")
-        d = tempfile.mkdtemp(prefix="tidewright-")
-        spark.sparkContext.setCheckpointDir(d)
-    return d
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage and survives lost executors.
 
