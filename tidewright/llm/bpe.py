@@ -1,8 +1,8 @@
 """Byte-level BPE ids: the tokenizer file defines them, its rank table gives them faster.
 
 `tokenizers` is the reference. Where the same vocabulary is at hand as a rank table, tiktoken computes the
-same ids in a quarter of the time; each task first compares the two on its first texts and fails on any
-difference. Texts with characters whose classes differ between Unicode versions, and texts that hold the string
+same ids in a quarter of the time; the two are compared on one text in COMPARED, by a hash of the text, and any
+difference is an error: whether one is found doesn't depend on how texts are parted. Texts with characters whose classes differ between Unicode versions, and texts that hold the string
 of an added token, always go to `tokenizers`.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import re
+import zlib
 
 import numpy as np
 
@@ -18,8 +19,8 @@ UNSURE = re.compile("[^\\t\\n\\r -~¡-©«-±´¶-¸»¿-ɏ]")
 BETWEEN_WORDS = re.compile(r"(?<=[^\W\d_])[ \n](?=[^\W\d_])")
 #: Characters of a part of a long text, about.
 PART = 1 << 16
-#: Texts, and characters of them in all, that each task compares.
-COMPARED, COMPARED_CHARS = 32, 200_000
+#: One text in so many is compared.
+COMPARED = 64
 
 
 class BytePairEncoder:
@@ -35,7 +36,7 @@ class BytePairEncoder:
         self.tokenizer.encode_special_tokens = escape
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (escape and t.special)]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.fast, self.left, self.left_chars = None, COMPARED, COMPARED_CHARS
+        self.fast = None
         if ranks_path:
             import tiktoken
 
@@ -60,9 +61,7 @@ class BytePairEncoder:
                 out.append(self._slow(t))
                 continue
             ids = self.fast.encode_to_numpy(t).astype("<u4").tobytes()
-            if self.left and len(t) <= self.left_chars:
-                self.left, self.left_chars = self.left - 1, self.left_chars - len(t)
-                if ids != self._slow(t):
-                    raise ValueError("the rank table and the tokenizer file give different ids")
+            if zlib.crc32(t.encode()) % COMPARED == 0 and ids != self._slow(t):
+                raise ValueError(f"the rank table and the tokenizer file give different ids for {t[:80]!r}")
             out.append(ids)
         return out
