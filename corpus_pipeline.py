@@ -13,8 +13,6 @@ from pyspark.sql import types as T
 from tidewright.llm import langid, ngram_join, packing, toxicity
 from tidewright.llm._common import broadcast_if_small, materialise, table
 
-#: A language with less than this score isn't told apart from chance among four.
-LEAST_LANGUAGE_SCORE = 0.25
 TOXIC = 0.5
 #: Trained models and the join's components have no SQL form; tests compare run() with a brute-force version.
 ORACLE_SQL = None
@@ -28,10 +26,13 @@ def unused(docs: DataFrame, name: str) -> str:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is told: the text has a letter and the score is not below chance."""
+    """Keeps documents whose language is told: the text has a letter and the score is not below chance among the
+    languages that were learned. Without any language to learn no document is told."""
     lang, score = unused(docs, "lang_pred"), unused(docs, "score")
-    out = langid.predict(docs, langid.fit(docs), carry=tuple(docs.columns), names=(lang, score))
-    return out.where((F.col(lang) != langid.UNDETERMINED) & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    model = langid.fit(docs)
+    chance = 1 / len(model.langs) if model else 1.0
+    out = langid.predict(docs, model, carry=tuple(docs.columns), names=(lang, score))
+    return out.where((F.col(lang) != langid.UNDETERMINED) & (F.col(score) >= chance)).select(*docs.columns)
 
 
 def toxic_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ def test_stages_like_brute_force(spark):
     model = langid.fit(docs)
     told = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, model).collect()}
     one = materialise(corpus_pipeline.language_id(spark, docs, DIR), "t")
-    assert one.columns == docs.columns and ids(one) == sorted(i for i, (p, s) in told.items() if p != "und" and s >= corpus_pipeline.LEAST_LANGUAGE_SCORE)
+    assert one.columns == docs.columns and ids(one) == sorted(i for i, (p, s) in told.items() if p != "und" and s >= 1 / len(model.langs))
     assert -1 not in ids(one) and -2 not in ids(one)
     two = materialise(corpus_pipeline.toxic_language(spark, one, DIR), "t")
     scored = {r.doc_id: r.score for r in toxicity.score(one, toxicity.fit(one, spark.read.parquet(f"{DIR}/labels.parquet"))).collect()}
