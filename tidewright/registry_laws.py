@@ -17,14 +17,18 @@ from .operators.explorer import Explorer
 from .plans.generate import Generator, plan_dataset
 from .plans.spec import load_spec
 from .registry import SPEC, query, sq, t
-from .registry import q as rounded
 from .sources import readers, sinks
 from .sources.detect import Detection
 from .storage import shared_dir
 
 
 def values(names: str, *rows: tuple) -> str:
-    return f"SELECT * FROM (VALUES {', '.join(str(r) if len(r) > 1 else f'({r[0]!r})' for r in rows)}) AS v({names})".replace("True", "TRUE").replace("False", "FALSE")
+    """SQL for a few stated rows; whole numbers are BIGINT, as counts are."""
+
+    def one(x) -> str:
+        return "TRUE" if x is True else "FALSE" if x is False else "CAST(NULL AS BIGINT)" if x is None else f"CAST({x} AS BIGINT)" if isinstance(x, int) else f"'{x}'"
+
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) AS v({names})"
 
 
 def frames(spark: SparkSession) -> dict[str, DataFrame]:
@@ -44,7 +48,7 @@ def generated_keys(spark, sf_dir):
     return out
 
 
-@query(values("table_name, orphans, inherited_wrong, parents_twice", ("fact_orders", 0, 0, None), ("loyalty_card", 0, None, 0)).replace("None", "CAST(NULL AS BIGINT)"))
+@query(values("table_name, orphans, inherited_wrong, parents_twice", ("fact_orders", 0, 0, None), ("loyalty_card", 0, None, 0)))
 def generated_references(spark, sf_dir):
     """No orphans; what a child inherits is what its parent has; one-to-one keys come once."""
     f = frames(spark)
@@ -218,12 +222,12 @@ _TABLE = {
 
 
 def emitted(name: str, sql: str, columns: dict[str, str], where: str = "") -> None:
-    """Registers an emitted text as a query over `columns`: how each of its columns is compared (as is, day, or digits)."""
+    """Registers an emitted text as a query over `columns`: how each of its columns is compared (as is, as a type, or to so many digits)."""
 
     def picked(ansi: bool) -> str:
         def one(c: str, how: str) -> str:
             own = f'"{c}"' if ansi else f"`{c}`"
-            return f"{own if not how else f'CAST({own} AS DATE)' if how == 'day' else sq(own, int(how))} AS {own}"
+            return f"{own if not how else f'CAST({own} AS {how})' if how.isalpha() else sq(own, int(how))} AS {own}"
 
         text = sql.replace("`", '"') if ansi else re.sub("`(" + "|".join(_TABLE) + ")`", r"{\1}", sql)
         return f"SELECT {', '.join(one(c, h) for c, h in columns.items())} FROM ({text}) AS emitted{where}"
@@ -244,13 +248,13 @@ def _register_texts() -> None:
     emitted("emitted_distribution", found["distribution"], {"o_orderstatus": "", "n": ""})
     emitted("emitted_aggregate", found["aggregate"], {"total": "2", "mean": "4", "least": "2", "most": "2"})
     emitted("emitted_by_category", found["by_category"], {"o_orderstatus": "", "total": "2"})
-    emitted("emitted_monthly", found["monthly"], {"month": "day", "n": ""})
+    emitted("emitted_monthly", found["monthly"], {"month": "DATE", "n": ""})
     emitted("emitted_nulls", found["nulls"], every)
-    emitted("emitted_duplicates", found["duplicates"], {"duplicates": ""})
+    emitted("emitted_duplicates", found["duplicates"], {"duplicates": "BIGINT"})
     repeated = found["repeats"].replace("FROM `orders`", "FROM (SELECT * FROM `orders` UNION ALL SELECT * FROM `orders` WHERE o_orderkey % 7 = 0) AS twice")
     emitted("emitted_repeats", repeated, every)
     for s in insights.suggest({n: _TABLE[n] for n in ("customer", "orders")}):
-        columns = {"count": {"n": ""}, "monthly": {"month": "day", "total": "2"}, "top": {"total": "2"}, "distribution": {"n": ""}}[s["kind"]]
+        columns = {"count": {"n": ""}, "monthly": {"month": "DATE", "total": "2"}, "top": {"total": "2"}, "distribution": {"n": ""}}[s["kind"]]
         group = re.match(r"SELECT `(\w+)`", s["sql"])
         emitted(f"suggested_{s['kind']}_{s['table']}", s["sql"], ({group[1]: ""} if group else {}) | columns)
     join = next(s["sql"] for s in insights.suggest({n: _TABLE[n] for n in ("documents", "labels")}) if s["kind"] == "join")
