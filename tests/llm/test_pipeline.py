@@ -1,7 +1,7 @@
 import corpus_pipeline
 from test_joins import brute_groups
 
-from tidewright.llm import langid, packing, toxicity
+from tidewright.llm import _common, langid, packing, toxicity
 from tidewright.llm._common import materialise
 
 DIR = "/root/testdata/sf0.001"
@@ -60,3 +60,10 @@ def test_rows_that_share_an_id_are_judged_apart(spark):
     key = lambda r: (str(r.doc_id), str(r.text), r.node)
     assert sorted((str(r.doc_id), str(r.text)) for r in out[0]) == sorted((str(i), str(t)) for i, t in [(0, a), (1, b), (3, c), (3, d), (4, None), (4, "."), (None, a), (None, a)])
     assert sorted(map(key, out[0])) == sorted(map(key, out[1]))
+
+
+def test_a_step_trims_the_drivers_native_memory(spark, monkeypatch):
+    done, trim = [], _common.trim
+    monkeypatch.setattr(_common, "trim", lambda session: done.append(trim(session)))
+    materialise(spark.range(1), "t")
+    assert done == [True]
